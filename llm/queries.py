@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup
+from llm import exact_dedup, packing, simhash
 from llm.common import home
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ def importable(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = [
         exact_dedup.op2_exact_dedup,
+        packing.op4_lexical_packing,
+        simhash.op5_simhash_near_dedup,
     ]
     return {q.__name__: importable(q) for q in found}
 
