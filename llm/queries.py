@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, fingerprints, packing, simhash, substrings, suffixes
+from llm import exact_dedup, fingerprints, packing, simhash, substrings, suffixes, toxicity
 from llm.common import home
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def importable(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = [
         exact_dedup.op2_exact_dedup,
+        toxicity.op3_toxicity,
         packing.op4_lexical_packing,
         simhash.op5_simhash_near_dedup,
         substrings.op6_substring_dedup,
