@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, fingerprints, packing, simhash, substrings, suffixes, toxicity
+from llm import exact_dedup, fingerprints, katz, packing, simhash, substrings, suffixes, toxicity
 from llm.common import home
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         packing.op4_lexical_packing,
         simhash.op5_simhash_near_dedup,
         substrings.op6_substring_dedup,
+        katz.op7_katz_scores,
         fingerprints.op8_fingerprints,
         suffixes.op10_suffix_dedup,
     ]
