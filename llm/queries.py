@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, fingerprints, katz, packing, simhash, substrings, suffixes, toxicity
+from llm import exact_dedup, fingerprints, katz, packing, pieces, simhash, substrings, suffixes, toxicity
 from llm.common import home
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,7 @@ def queries() -> dict[str, Query]:
         substrings.op6_substring_dedup,
         katz.op7_katz_scores,
         fingerprints.op8_fingerprints,
+        pieces.op9_sentencepiece,
         suffixes.op10_suffix_dedup,
     ]
     return {q.__name__: importable(q) for q in found}
