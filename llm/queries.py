@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, fingerprints, katz, packing, pieces, simhash, substrings, suffixes, toxicity
+from llm import exact_dedup, fingerprints, katz, packing, pieces, pii, simhash, substrings, suffixes, toxicity
 from llm.common import home
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def importable(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     found = [
+        pii.op1_personal_data,
         exact_dedup.op2_exact_dedup,
         toxicity.op3_toxicity,
         packing.op4_lexical_packing,
