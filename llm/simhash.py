@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, Block, blocks, documents, partitions, written
+from llm.common import SPACES, Block, blocks, documents, mix, partitions, written
 from llm.components import connected_components
+from llm.fingerprints import codes, likeness
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 PARTS, TILE = 4, 1 << 15
@@ -95,39 +96,41 @@ def group_numbers(pops: np.ndarray) -> np.ndarray:
 
 
 def _routed(parts: int, radius: int, tiles: dict[int, int]):
-    """Fingerprints -> (home tile, role 0: member of it, or 1: compared with its members)."""
+    """Rows of fingerprint, node and size -> (home tile, role 0: member of it, or 1: compared with its members)."""
     around = [np.array(x) for x in product(range(-radius, radius + 1), repeat=parts) if 0 < sum(map(abs, x)) <= radius and x > (0,) * parts]
     known = np.array(sorted(tiles), np.int64)
     count = np.array([tiles[k] for k in known.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray(batch.column(0)).view(np.uint64)
+            fp, node, size = (np.asarray(c) for c in batch.columns)
+            fp = fp.view(np.uint64)
             pops = populations(fp, parts)
             home = group_numbers(pops)
             mine = np.searchsorted(known, home)
-            tile = ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % count[mine]
-            out = [(home, tile, np.zeros(len(fp), np.int8), fp)]
+            tile = ((mix(fp) ^ mix(node.view(np.uint64))) >> np.uint64(33)).astype(np.int64) % count[mine]
+            all_ = np.arange(len(fp))
+            out = [(home, tile, np.zeros(len(fp), np.int8), all_)]
             # later tiles of the same group
             for k in range(1, int(count[mine].max(initial=1))):
-                to = tile + k < count[mine]
-                out.append((home[to], (tile + k)[to], np.ones(to.sum(), np.int8), fp[to]))
+                to = np.flatnonzero(tile + k < count[mine])
+                out.append((home[to], tile[to] + k, np.ones(len(to), np.int8), to))
             for step in around:
                 near = pops + step
                 number = group_numbers(near)
                 at = np.minimum(np.searchsorted(known, number), len(known) - 1)
-                to = (near >= 0).all(1) & (known[at] == number)
+                to = np.flatnonzero((near >= 0).all(1) & (known[at] == number))
                 n = count[at[to]]
                 which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((np.repeat(number[to], n), which, np.ones(n.sum(), np.int8), np.repeat(fp[to], n)))
-            home, tile, role, fp = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(tile), pa.array(role), pa.array(fp.view(np.int64))], names=["home", "tile", "role", "fp"])
+                out.append((np.repeat(number[to], n), which, np.ones(n.sum(), np.int8), np.repeat(to, n)))
+            home, tile, role, row = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(tile), pa.array(role), pa.array(fp[row].view(np.int64)), pa.array(node[row]), pa.array(size[row])], names=["home", "tile", "role", "fp", "node", "size"])
 
     return run
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128, columns: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions in a and b of pairs that differ in 1 to radius bits."""
+    """Positions in a and b of pairs that differ in no more than radius bits."""
     bits, counts = np.empty((rows, columns), np.uint64), np.empty((rows, columns), np.uint8)
     for i in range(0, len(a), rows):
         x = a[i : i + rows, None]
@@ -138,45 +141,44 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128, colum
             np.bitwise_count(bits[shape], out=counts[shape])
             p, q = np.nonzero(counts[shape] <= radius)
             if len(p):
-                apart = a[i + p] != b[j + q]
-                yield i + p[apart], j + q[apart]
+                yield i + p, j + q
 
 
-def _compared(radius: int):
-    """Rows sorted by home, tile and role -> links."""
+def _compared(radius: int, ratio: float):
+    """Rows sorted by home, tile and role -> links of different nodes, the smaller of whose sizes is at least ratio times the larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, np.zeros(0, np.uint64)
+        now, held = None, None
         for batch in batches:
             key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], 1)
-            role, fp = np.asarray(batch.column(2)), np.asarray(batch.column(3)).view(np.uint64)
+            role = np.asarray(batch.column(2))
+            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (3, 4, 5)])
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             u, v = [], []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(role)]):
                 if lo == hi:
                     continue
                 if now != (name := tuple(key[lo])):
-                    now, held = name, np.zeros(0, np.uint64)
+                    now, held = name, rows[:, :0]
                 own = lo + int(np.searchsorted(role[lo:hi], 1))
-                for fresh, against in ((fp[lo:own], "self"), (fp[own:hi], "others")):
-                    if not len(fresh):
-                        continue
-                    pairs = [(held, fresh)] + ([(fresh, fresh)] if against == "self" else [])
-                    for a, b in pairs:
-                        for p, q in near_pairs(a, b, radius):
-                            u.append(a[p])
-                            v.append(b[q])
-                    if against == "self":
-                        held = np.concatenate([held, fresh])
+                members, others = rows[:, lo:own], rows[:, own:hi]
+                for a, b in ((held, members), (members, members), (np.concatenate([held, members], 1), others)):
+                    for p, q in near_pairs(a[0].view(np.uint64), b[0].view(np.uint64), radius):
+                        x, y = a[1:, p], b[1:, q]
+                        fits = (x[0] != y[0]) & (np.minimum(x[1], y[1]) >= ratio * np.maximum(x[1], y[1]))
+                        u.append(np.minimum(x[0], y[0])[fits])
+                        v.append(np.maximum(x[0], y[0])[fits])
+                held = np.concatenate([held, members], 1)
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], names=["u", "v"])
+                found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints (fp) that differ in 1 to radius bits; a pair may come in both orders."""
-    spark = distinct.sparkSession
+def fingerprint_links(rows: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, ratio: float = 0.0) -> DataFrame:
+    """rows: fp, node, size (longs) -> pairs (u, v) of different nodes, u < v, whose fingerprints differ in no more than radius bits."""
+    spark = rows.sparkSession
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +186,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, parts: int = PA
             yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(n)], names=["home", "n"])
 
     # at most (64 / parts + 1) ** parts groups, whatever the size of the table
-    counted = distinct.select("fp").mapInArrow(sizes, "home long, n long").groupBy("home").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("fp").mapInArrow(sizes, "home long, n long").groupBy("home").agg(F.sum("n").alias("n")).collect()
     tiles = {r.home: -(-r.n // tile) for r in counted}
-    routed = distinct.select("fp").mapInArrow(_routed(parts, radius, tiles), "home long, tile long, role byte, fp long")
+    routed = rows.select("fp", "node", "size").mapInArrow(_routed(parts, radius, tiles), "home long, tile long, role byte, fp long, node long, size long")
     routed = routed.repartition(partitions(spark), "home", "tile").sortWithinPartitions("home", "tile", "role")
-    return routed.mapInArrow(_compared(radius), "u long, v long")
+    return routed.mapInArrow(_compared(radius, ratio), "u long, v long")
 
 
 def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -196,19 +198,81 @@ def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(source.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "simhash")
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    parts = connected_components(fingerprint_links(distinct, radius))
+    parts = connected_components(fingerprint_links(distinct.select("fp", F.col("fp").alias("node"), F.lit(1).cast("long").alias("size")), radius))
     named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, size, sketch = [], [], []
+            for block in blocks(batch.column(1)):
+                hashes, places = shingle_hashes(block, width)
+                fp.append(majority(hashes, places))
+                owner = np.repeat(np.arange(len(block)), np.diff(places))
+                pairs = np.unique(np.stack([owner.astype(np.uint64), hashes], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
+                size.append(np.bincount(pairs[:, 0].astype(np.int64), minlength=len(block)))
+                sketch += [row.tobytes() for row in codes(block, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp).view(np.int64) if fp else [], pa.int64()), pa.array(np.concatenate(size) if size else [], pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "size", "sketch"])
+
+    return run
+
+
+def _likened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(a, b) if batch.num_rows else [], pa.float64())], names=["u", "v", "near"])
+
+
+def _jaccard(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            sets: list[list[set]] = []
+            for k in (2, 3):
+                mine: list[set] = []
+                for block in blocks(batch.column(k)):
+                    hashes, places = shingle_hashes(block, width)
+                    mine += [set(hashes[a:b].tolist()) for a, b in zip(places, places[1:])]
+                sets.append(mine)
+            for a, b in zip(*sets):
+                found.append(len(a & b) / len(a | b) if a or b else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "near"])
+
+    return run
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 18, doubt: float = 0.1) -> DataFrame:
+    """doc_id and component_id of each row: classes of texts linked by a Jaccard index of their shingles of at least similarity.
+
+    radius: fingerprints of such texts differ in fewer bits but for one pair in hundreds at 0.8, fewer above. Candidate
+    pairs are likened by sketches; those within doubt of the threshold (five standard errors) are compared in full.
+    Texts of one fingerprint, number of shingles and sketch are one node. Populations are not taken by parts here: at
+    this radius a tile pair is skipped only when the counts of whole fingerprints are far apart.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    found = written(source.mapInArrow(_sketches(width), "doc_id long, fp long, size long, sketch binary"), "near-scan")
+    nodes = written(found.groupBy("fp", "size", "sketch").agg(F.min("doc_id").alias("node")), "near-nodes")
+    pairs = written(fingerprint_links(nodes, radius, 1, 1 << 17, similarity), "near-pairs").distinct()
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    likened = written(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sketch_u", "sketch_v").mapInArrow(_likened, "u long, v long, near double").where(F.col("near") >= similarity - doubt), "near-liken")
+    sure = likened.where(F.col("near") >= similarity + doubt).select("u", "v")
+    text = lambda name: source.select(F.col("doc_id").alias(name), F.coalesce("text", F.lit("")).alias(f"text_{name}"))
+    unsure = likened.where(F.col("near") < similarity + doubt).select("u", "v")
+    full = unsure.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard(width), "u long, v long, near double")
+    links = sure.unionByName(full.where(F.col("near") >= similarity).select("u", "v"))
+    parts = connected_components(links)
+    named = nodes.join(parts, "node", "left").select("fp", "size", "sketch", F.coalesce("component", "node").alias("component_id"))
+    return found.join(named, ["fp", "size", "sketch"]).select("doc_id", "component_id")
+
+
+def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class, with all their columns; rows without doc_id stay."""
-    found = simhash_classes(docs, width)
-    goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    left = docs.join(goes, docs["doc_id"] == F.col("_id"), "left_anti")
-    return left
+    goes = similar_classes(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(goes, docs["doc_id"] == F.col("_id"), "left_anti")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,6 +334,19 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, clauses double, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = grammar()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
+            found = [model.clauses(b, machine) for b in blocks(lowered(texts))]
+            yield batch.filter(pa.array(model.score(np.concatenate(found)) < 0.5 if found else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
