@@ -153,7 +153,7 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("" if not pa.types.is_binary(column.type) else b"")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     return column.cast(pa.large_binary())
 
 

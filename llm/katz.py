@@ -242,7 +242,7 @@ def probability(pair: np.ndarray, history: np.ndarray, word: np.ndarray, scale:
 
 def katz_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    chunks, buckets = chunked(docs, per_partition=1)
+    chunks, buckets = chunked(docs, per_partition=1, squeeze=True)
     numbers = buckets
 
     def ask_words(chunk: Chunk) -> pa.Table:
