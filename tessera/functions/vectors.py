@@ -2,7 +2,7 @@
 
 import re as _re
 
-STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+STOP = "was no for will with on is there are these such be the but in this into an of then and or it not if a that they at as by their to".split()
 _WORDS = "filter(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}_]+'), w -> w <> '')"
 
 

@@ -109,6 +109,66 @@ def registered(s: SparkSession, d: str) -> DataFrame:
     return sql(s, d, "SELECT p_partkey, pg_gcd(p_size, p_partkey) AS g, pg_substr_count(p_name, 'r') AS n, pg_quote_literal(p_name) AS q FROM {part}")
 
 
+def located(s: SparkSession, d: str, name: str, text: str) -> str:
+    """A table made of a query (CREATE TABLE AS), in a schema of its own; its files lie in the shared folder."""
+    path = folder(s)
+    s.sql(f"CREATE DATABASE IF NOT EXISTS tessera_work LOCATION '{path}/db'")
+    s.sql(f"DROP TABLE IF EXISTS tessera_work.{name}")
+    sql(s, d, text).write.option("path", f"{path}/{name}").saveAsTable(f"tessera_work.{name}")
+    return f"tessera_work.{name}"
+
+
+def created(s: SparkSession, d: str) -> DataFrame:
+    return s.table(located(s, d, "big_orders", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 200000"))
+
+
+def truncated(s: SparkSession, d: str) -> DataFrame:
+    """A table emptied, then filled again from another."""
+    name = located(s, d, "emptied", "SELECT n_nationkey, n_name FROM {nation}")
+    rows = s.table(name)
+    return rows.where("false").unionByName(sql(s, d, "SELECT s_suppkey AS n_nationkey, s_name AS n_name FROM {supplier}"))
+
+
+def explained(s: SparkSession, d: str) -> DataFrame:
+    table(s, d, "lineitem").createOrReplaceTempView("tessera_lines")
+    return s.sql("EXPLAIN FORMATTED SELECT l_partkey, sum(l_quantity) FROM tessera_lines GROUP BY l_partkey").withColumnRenamed("plan", "plan_text")
+
+
+def analyzed(s: SparkSession, d: str) -> DataFrame:
+    name = located(s, d, "measured", "SELECT p_partkey, p_brand, p_size FROM {part}")
+    s.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return s.sql(f"DESCRIBE EXTENDED {name} p_size").where("info_name IN ('min', 'max', 'num_nulls')").select("info_name", "info_value")
+
+
+def scripted(s: SparkSession, d: str) -> DataFrame:
+    """A procedure with a loop and a branch, as an SQL script."""
+    return s.sql("BEGIN DECLARE n INT = 0; DECLARE total BIGINT = 0; WHILE n < 10 DO SET n = n + 1; IF n % 2 = 0 THEN SET total = total + n; END IF; END WHILE; SELECT n, total; END")
+
+
+def grouped_function(s: SparkSession, d: str) -> DataFrame:
+    """An aggregate of one's own: groups come as Arrow batches."""
+    spread = F.pandas_udf(lambda v: float(v.max() - v.min()), "double", F.PandasUDFType.GROUPED_AGG)
+    return table(s, d, "part").groupBy("p_type").agg(F.round(spread("p_retailprice"), 4).alias("spread"))
+
+
+def table_function(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="word string, place int")
+    class Words:
+        def eval(self, text: str):
+            yield from ((w, k) for k, w in enumerate(text.split(" "), 1))
+
+    s.udtf.register("tessera_words", Words)
+    return sql(s, d, "SELECT p_partkey, w.word, w.place FROM {part}, LATERAL tessera_words(p_name) w")
+
+
+def enumerated(s: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.changes import checked
+
+    return checked(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), status=F.col("o_orderstatus").isin("F", "O", "P"))
+
+
 _LOG = "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1)"
 FRAMES = {
     "s_8_partition_pruned": (partition_pruned, "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997"),
@@ -125,6 +185,14 @@ FRAMES = {
     "t_3_streamed_changes": (streamed_changes, f"{_LOG} SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM l) UNION ALL SELECT o_custkey, o_totalprice FROM l WHERE o_orderstatus <> 'F'"),
     "t_4_decoded_changes": (decoded_changes, "SELECT n_nationkey::BIGINT AS seq, 'table nation: INSERT: n_name:' || n_name AS line FROM nation"),
     "f_1_sql_function": (sql_function, "SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
+    "s_21_create_as": (created, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000"),
+    "d_3_truncate": (truncated, "SELECT s_suppkey AS n_nationkey, s_name AS n_name FROM supplier"),
+    "d_8_enum": (enumerated, "SELECT o_orderkey, o_orderstatus FROM orders"),
+    "d_14_explain": (explained, None),
+    "d_15_analyze": (analyzed, "SELECT 'num_nulls' AS info_name, '0' AS info_value UNION ALL SELECT 'min', CAST(min(p_size) AS VARCHAR) FROM part UNION ALL SELECT 'max', CAST(max(p_size) AS VARCHAR) FROM part"),
+    "f_2_script": (scripted, "SELECT 10 AS n, 30 AS total"),
+    "f_6_aggregate_function": (grouped_function, "SELECT p_type, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY p_type"),
+    "f_7_table_function": (table_function, "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part"),
     "f_1_registered": (registered, "SELECT p_partkey, CAST(gcd(p_size, p_partkey) AS BIGINT) AS g, length(p_name) - length(replace(p_name, 'r', '')) AS n, '''' || p_name || '''' AS q FROM part"),
 }
 
