@@ -6,11 +6,18 @@ STOP = "was no for will with on is there are these such be the but in this into
 _WORDS = "filter(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}_]+'), w -> w <> '')"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with value under a name: a lambda's variable is worked out once, an expression inside a lambda for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def tsvector(s):
-    """Sorted lexemes with their places: stop words are left out but counted."""
-    words = _WORDS.format(s)
+    """Sorted lexemes with their places: stop words are left out but counted. Words are sorted with their places, and runs of equal words cut from that, so the work is n log n."""
     stop = "array(" + ", ".join(f"'{w}'" for w in STOP) + ")"
-    return f"transform(array_sort(array_distinct(filter({words}, w -> NOT array_contains({stop}, w)))), l -> named_struct('lexeme', l, 'positions', filter(transform({words}, (w, i) -> if(w = l, CAST(i + 1 AS BIGINT), NULL)), p -> p IS NOT NULL)))"
+    pairs = f"array_sort(filter(transform({_WORDS.format(s)}, (w, i) -> named_struct('w', w, 'p', CAST(i + 1 AS BIGINT))), e -> NOT array_contains({stop}, e.w)))"
+    heads = "filter(transform(v_all, (x, i) -> named_struct('w', x.w, 'i', i, 'h', i = 0 OR get(v_all, i - 1).w <> x.w)), x -> x.h)"
+    rows = "transform(v_heads, (x, k) -> named_struct('lexeme', x.w, 'positions', transform(slice(v_all, x.i + 1, coalesce(get(v_heads, k + 1).i, size(v_all)) - x.i), e -> e.p)))"
+    return _let("v_all", pairs, _let("v_heads", heads, rows))
 
 
 class Query:
