@@ -31,7 +31,7 @@ from llm.common import _BYTE_POWERS, Block, blocks, byte_values, crc32_of_id, do
 from llm.fingerprints import shingles
 
 #: Labelled rows that a fit reads at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 LENGTHS = range(3, 13)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 WORDS = {
@@ -231,25 +231,25 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         column, toxic = column.take(pa.array(rows)), toxic[rows]
     if not toxic.any() or toxic.all():
         return _lexicon(seed, [])
-    held: dict[int, list[np.ndarray]] = {n: [] for n in (0, *LENGTHS)}
-    owner: dict[int, list[np.ndarray]] = {n: [] for n in (0, *LENGTHS)}
     all_blocks = list(blocks(column))
-    for block in all_blocks:
-        words = Words(block)
-        for n in held:
-            at, hashes = (np.arange(len(words.doc)), words.whole()) if n == 0 else words.beginning(n)
-            pair = np.unique(np.stack([hashes, (block.first + words.doc[at]).astype(np.uint64)], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-            held[n].append(pair[:, 0])
-            owner[n].append(pair[:, 1].astype(np.int64))
     p = toxic.mean()
     tables = {}
     trials = 0
-    for n in held:
-        found, back = np.unique(np.concatenate(held[n]), return_inverse=True)
-        y = toxic[np.concatenate(owner[n])]
+    for n in (0, *LENGTHS):  # one length at a time, for the memory of the driver
+        held, owner = [], []
+        for block in all_blocks:
+            words = Words(block)
+            at, hashes = (np.arange(len(words.doc)), words.whole()) if n == 0 else words.beginning(n)
+            pair = np.unique(mix(hashes) ^ mix(words.doc[at].astype(np.uint64) + np.uint64(1)), return_index=True)[1] if len(at) else np.zeros(0, np.int64)
+            held.append(hashes[pair])
+            owner.append((block.first + words.doc[at][pair]).astype(np.int32))
+        y = toxic[np.concatenate(owner)]
+        found, back = np.unique(np.concatenate(held), return_inverse=True)
+        del held, owner
         a = np.bincount(back, y, len(found))
         b = np.bincount(back, ~y, len(found))
-        tables[n] = (found, a, b)
+        some = (a > 0) | (n == 0)  # of whole words all: those of the built-in lexicon may be ordinary here
+        tables[n] = (found[some], a[some], b[some])
         trials += len(found)
     needed = 2 * math.log(max(2, trials)) + 4
     clean = len(toxic) - toxic.sum()
@@ -279,7 +279,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             keep[best] = chosen[best]
     whole_known = tables[0]
     for word in list(seed):
-        at = np.searchsorted(whole_known[0], np.uint64(word_hash(word)))
+        at = int(np.searchsorted(whole_known[0], np.uint64(word_hash(word))))
         if at < len(whole_known[0]) and whole_known[0][at] == np.uint64(word_hash(word)) and whole_known[2][at] > max(2, whole_known[1][at] / 5):
             del seed[word]  # ordinary in these texts
     weight = lambda a, b: min(2.0, max(0.5, math.log(((a + 0.5) / (toxic.sum() + 1)) / ((b + 0.5) / (clean + 1))) / 4))
