@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -173,6 +175,22 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that copies of texts stay small; at a task's end freed memory goes back to the system."""
+    for whole in batches:
+        for at in range(0, max(1, whole.num_rows), rows):
+            yield whole.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Gives memory that this worker has freed back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def crc32_of_id(doc_id) -> "F.Column":
     """crc32 of doc_id written as decimal text: the folds are made from it."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary"))

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, partitions, plain, written
+from llm.common import documents, partitions, plain, slices, written
 
 LEAST = -(1 << 63)
-MEMTABLE_BYTES, MEMTABLE_ROWS, FANOUT = 32 << 20, 200_000, 4
+MEMTABLE_BYTES, MEMTABLE_ROWS, FANOUT = 16 << 20, 200_000, 4
 
 
 class Bloom:
@@ -125,7 +125,7 @@ def _scan(digest_bytes: int, memtable_bytes: int, prefer: int):
             found = [(d, c) for d, cs in held.items() for c in cs]
             return _batch(1, [c[1] for _, c in found], [c[4] for _, c in found], [d for d, _ in found], [None] * len(found), [c[1] for _, c in found], [c[2] for _, c in found], [c[3][0] for _, c in found], [c[3][1] for _, c in found])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(ids, plain(batch.column(1)).to_pylist()):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents
+from llm.common import documents, release, slices
 
 WINDOW, END, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 1 << 20, 16
 K1, B = 1.2, 0.75
@@ -214,7 +214,7 @@ def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
             texts.clear()
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * with_ids)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "") + end
                 names.append(doc_id)
@@ -225,6 +225,10 @@ def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
                     tokens = 0
         if texts:
             yield packed()
+        # the next task's stretch has words of its own; an idle worker needs no room for these
+        encode.first.clear()
+        encode.later.clear()
+        release()
 
     return run
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, Block, blocks, documents, mix, partitions, written
+from llm.common import SPACES, Block, blocks, documents, mix, partitions, slices, written
 from llm.components import connected_components
 from llm.fingerprints import codes, likeness
 
@@ -77,7 +77,7 @@ def majority(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [majority(*shingle_hashes(b, width)) for b in blocks(batch.column(1))]
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
@@ -207,7 +207,7 @@ def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp, size, sketch = [], [], []
             for block in blocks(batch.column(1)):
                 hashes, places = shingle_hashes(block, width)
@@ -222,14 +222,14 @@ def _sketches(width: int):
 
 
 def _likened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(a, b) if batch.num_rows else [], pa.float64())], names=["u", "v", "near"])
 
 
 def _jaccard(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 100):
             found = []
             sets: list[list[set]] = []
             for k in (2, 3):

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import _BYTE_POWERS, Block, blocks, byte_values, crc32_of_id, documents, mix, prefix_sums
+from llm.common import _BYTE_POWERS, Block, blocks, byte_values, crc32_of_id, documents, mix, prefix_sums, slices
 from llm.fingerprints import shingles
 
 #: Labelled rows that a fit reads at most.
@@ -323,7 +323,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = grammar()
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.clauses(b, machine) for b in blocks(lowered(batch.column(2).fill_null("")))]
             total = np.concatenate(found) if found else np.zeros(0)
             score = model.score(total)
@@ -339,7 +339,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = grammar()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
             found = [model.clauses(b, machine) for b in blocks(lowered(texts))]
             yield batch.filter(pa.array(model.score(np.concatenate(found)) < 0.5 if found else [], pa.bool_()))
