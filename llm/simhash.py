@@ -211,10 +211,11 @@ def _sketches(width: int):
             fp, size, sketch = [], [], []
             for block in blocks(batch.column(1)):
                 hashes, places = shingle_hashes(block, width)
-                fp.append(majority(hashes, places))
                 owner = np.repeat(np.arange(len(block)), np.diff(places))
                 pairs = np.unique(np.stack([owner.astype(np.uint64), hashes], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
                 size.append(np.bincount(pairs[:, 0].astype(np.int64), minlength=len(block)))
+                # of distinct shingles, like the similarity: a refrain in one of two near copies counts once
+                fp.append(majority(pairs[:, 1], np.concatenate([[0], np.cumsum(size[-1])])))
                 sketch += [row.tobytes() for row in codes(block, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp).view(np.int64) if fp else [], pa.int64()), pa.array(np.concatenate(size) if size else [], pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "size", "sketch"])
 
