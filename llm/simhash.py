@@ -13,6 +13,7 @@ rows of one class; an empty table gives an empty result; further columns are ign
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import product, repeat
 
@@ -22,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, Block, blocks, documents, mix, partitions, slices, written
+from llm.common import SPACES, Block, blocks, documents, mix, partitions, release, slices, written
 from llm.components import connected_components
-from llm.fingerprints import codes, likeness
+from llm.fingerprints import codes, likeness, shingles
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 PARTS, TILE = 4, 1 << 15
+BUCKETS, SHARES = 1 << 20, 16
+_BUCKET = np.uint64(44)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[SPACES] = 32
@@ -205,23 +208,146 @@ def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketches(width: int):
+def _bucket_counts(width: int):
+    """How many shingles of a task fall into each of BUCKETS buckets of the hash space, in SHARES rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in slices(batches):
-            fp, size, sketch = [], [], []
+            for block in blocks(batch.column(0)):
+                total += np.bincount((shingles(block, width)[0] >> _BUCKET).astype(np.int64), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHARES), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(SHARES, -1)], pa.binary())], names=["share", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for share, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[share] = total.get(share, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["share", "counts"])
+
+
+def bucket_counts(source: DataFrame, width: int) -> np.ndarray:
+    """Shingles of the table in each bucket: a table of fixed size."""
+    counted = source.select("text").mapInArrow(_bucket_counts(width), "share long, counts binary")
+    out = np.zeros((SHARES, BUCKETS // SHARES), np.int64)
+    for r in counted.repartition(min(SHARES, partitions(source.sparkSession)), "share").mapInArrow(_summed, "share long, counts binary").collect():
+        out[r.share] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(out.ravel(), 0xFFFFFFFF).astype(np.uint32)
+
+
+def prefixes(hashes: np.ndarray, owner: np.ndarray, docs: int, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over each document's distinct shingles, their number, and how many of them, at the front of an order, two
+    documents of the similarity can't avoid to share one of; these follow as an array of arrays.
+
+    The order is that of counts, so that common shingles come last, then of the hashes: the same for all documents.
+    """
+    at = np.lexsort((hashes, counts[(hashes >> _BUCKET).astype(np.int64)], owner))
+    hashes, owner = hashes[at], owner[at]
+    first = np.ones(len(at), np.bool_)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[first], owner[first]
+    size = np.bincount(owner, minlength=docs)
+    places = np.concatenate([[0], np.cumsum(size)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)])
+    # at least similarity * size are shared, so not all the others and one more can be missing
+    n = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    parts = np.empty(docs, object)
+    parts[:] = [hashes[a : a + k].tobytes() for a, k in zip(places.tolist(), n.tolist())]
+    return sums[places[1:]] - sums[places[:-1]], size, parts
+
+
+def _sketches(width: int, counts: np.ndarray, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fp, size, prefix, sketch = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
             for block in blocks(batch.column(1)):
-                hashes, places = shingle_hashes(block, width)
-                owner = np.repeat(np.arange(len(block)), np.diff(places))
-                pairs = np.unique(np.stack([owner.astype(np.uint64), hashes], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-                size.append(np.bincount(pairs[:, 0].astype(np.int64), minlength=len(block)))
-                # of distinct shingles, like the similarity: a refrain in one of two near copies counts once
-                fp.append(majority(pairs[:, 1], np.concatenate([[0], np.cumsum(size[-1])])))
+                sums, n, parts = prefixes(*shingles(block, width), len(block), counts, similarity)
+                fp.append(sums)
+                size.append(n)
+                prefix += parts.tolist()
                 sketch += [row.tobytes() for row in codes(block, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp).view(np.int64) if fp else [], pa.int64()), pa.array(np.concatenate(size) if size else [], pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp).view(np.int64)), pa.array(np.concatenate(size)), pa.array(sketch, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "fp", "size", "sketch", "prefix"])
 
     return run
 
 
+_POSTING = np.dtype([("hash", "<u4"), ("size", "<u4"), ("node", "<i8")])
+
+
+def _postings(parts: int):
+    """Rows of node, size and prefix -> the prefixes' hashes by parts of the hash space, with size and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4000):
+            found = batch.column(2).to_pylist()
+            hashes = np.frombuffer(b"".join(found), np.uint64)
+            row = np.repeat(np.arange(len(found)), [len(x) // 8 for x in found])
+            part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            at = np.argsort(part, kind="stable")
+            out = np.empty(len(at), _POSTING)
+            out["hash"], out["size"], out["node"] = hashes[at].astype(np.uint32), np.asarray(batch.column(1))[row[at]], np.asarray(batch.column(0))[row[at]]
+            which, begin = np.unique(part[at], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array([x.tobytes() for x in np.split(out, begin[1:])] if len(which) else [], pa.binary())], names=["part", "postings"])
+
+    return run
+
+
+def sharing(postings: np.ndarray, similarity: float, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Pairs (u < v, two rows) of different nodes that share a hash and whose sizes allow the similarity, each once a yield."""
+    postings = postings[np.lexsort((postings["size"], postings["hash"]))]
+    hash_, size, node = (np.ascontiguousarray(postings[k]) for k in ("hash", "size", "node"))
+    held, n, step = [], 0, 1
+    at = np.arange(len(hash_))
+    while len(at):
+        at = at[at + step < len(hash_)]
+        for lo in range(0, len(at), most):
+            some = at[lo : lo + most]
+            # sizes ascend under a hash: where one is too large, so are all after it
+            fits = (hash_[some] == hash_[some + step]) & (size[some] >= similarity * size[some + step] - 1e-9)
+            at[lo : lo + most] = np.where(fits, some, -1)
+            u, v = node[some[fits]], node[some[fits] + step]
+            held.append(np.stack([np.minimum(u, v), np.maximum(u, v)])[:, u != v])
+            n += held[-1].shape[1]
+            if n >= most:
+                yield np.unique(np.concatenate(held, 1), axis=1)
+                held, n = [], 0
+        at, step = at[at >= 0], step + 1
+    if n:
+        yield np.unique(np.concatenate(held, 1), axis=1)
+
+
+def _sharing(similarity: float):
+    """Rows of part and postings, sorted by part -> pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            for found in sharing(np.frombuffer(b"".join(held), _POSTING), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+
+        for batch in batches:
+            for part, postings in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != now:
+                    yield from pairs()
+                    now, held = part, []
+                held.append(postings.as_py())
+        yield from pairs()
+        release()
+
+    return run
+
+
+def prefix_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes: node, size, prefix -> pairs (u, v) of different nodes, u < v, which share a hash of their prefixes: all of at least the similarity, and some others."""
+    parts = partitions(nodes.sparkSession)
+    found = nodes.select("node", "size", "prefix").mapInArrow(_postings(parts), "part long, postings binary")
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sharing(similarity), "u long, v long").distinct()
+
+
 def _likened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
@@ -246,28 +372,32 @@ def _jaccard(width: int):
     return run
 
 
-def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 18, doubt: float = 0.1) -> DataFrame:
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doubt: float = 0.1, short: int = 128) -> DataFrame:
     """doc_id and component_id of each row: classes of texts linked by a Jaccard index of their shingles of at least similarity.
 
-    radius: fingerprints of such texts differ in fewer bits but for one pair in hundreds at 0.8, fewer above. Candidate
-    pairs are likened by sketches; those within doubt of the threshold (five standard errors) are compared in full.
-    Texts of one fingerprint, number of shingles and sketch are one node. Populations are not taken by parts here: at
-    this radius a tile pair is skipped only when the counts of whole fingerprints are far apart.
+    Candidates come from prefixes of the sorted shingles, of which two such texts always share one. Candidate pairs are
+    likened by sketches; those within doubt of the threshold (five standard errors), and those with a text of fewer than
+    short shingles, on which sketches are coarse, are compared in full. Texts of the same set of shingles are one node.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    found = written(source.mapInArrow(_sketches(width), "doc_id long, fp long, size long, sketch binary"), "near-scan")
-    nodes = written(found.groupBy("fp", "size", "sketch").agg(F.min("doc_id").alias("node")), "near-nodes")
-    pairs = written(fingerprint_links(nodes, radius, 1, 1 << 17, similarity), "near-pairs").distinct()
-    of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    likened = written(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sketch_u", "sketch_v").mapInArrow(_likened, "u long, v long, near double").where(F.col("near") >= similarity - doubt), "near-liken")
+    found = written(source.mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, fp long, size long, sketch binary, prefix binary"), "near-scan")
+    nodes = written(found.groupBy("fp", "size").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
+    pairs = written(prefix_links(nodes, similarity), "near-pairs")
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("size").alias(f"size_{name}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    is_short = F.least("size_u", "size_v") < short
+    likened = written(
+        both.where(~is_short).select("u", "v", "sketch_u", "sketch_v").mapInArrow(_likened, "u long, v long, near double").where(F.col("near") >= similarity - doubt)
+        .unionByName(both.where(is_short).select("u", "v", F.lit(similarity).cast("double").alias("near"))), "near-liken",
+    )
     sure = likened.where(F.col("near") >= similarity + doubt).select("u", "v")
     text = lambda name: source.select(F.col("doc_id").alias(name), F.coalesce("text", F.lit("")).alias(f"text_{name}"))
     unsure = likened.where(F.col("near") < similarity + doubt).select("u", "v")
     full = unsure.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard(width), "u long, v long, near double")
     links = sure.unionByName(full.where(F.col("near") >= similarity).select("u", "v"))
     parts = connected_components(links)
-    named = nodes.join(parts, "node", "left").select("fp", "size", "sketch", F.coalesce("component", "node").alias("component_id"))
-    return found.join(named, ["fp", "size", "sketch"]).select("doc_id", "component_id")
+    named = nodes.join(parts, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
+    return found.select("doc_id", "fp", "size").join(named, ["fp", "size"]).select("doc_id", "component_id")
 
 
 def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

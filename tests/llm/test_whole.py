@@ -15,3 +15,14 @@ def test_refrain_in_one_of_two_near_copies(spark):
         rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words + refrain * 100))]
     found = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: i - i % 10 for i, _ in rows}
+
+
+def test_short_texts_at_the_threshold(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(20000)]
+    rows = []
+    for k in range(1500):  # four of five shingles: the longer text has one word more
+        words = [rng.choice(vocab) for _ in range(9)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-1]))]
+    found = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 10 for i, _ in rows}
