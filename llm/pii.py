@@ -2,7 +2,7 @@
 
 The network is trained in numpy from labelled spans of generated sentences (training_windows), with a fixed seed. A
 span of any of the four kinds holds a digit, an at sign or a spelled-out one, so only stretches around these triggers
-are tagged: each stretch is cut into overlapping windows, the tags' scores of windows that overlap are averaged with
+and spelled-out dots are tagged, out to the ends of an address's words: each stretch is cut into overlapping windows, the tags' scores of windows that overlap are averaged with
 weights that fall towards a window's edges, and one Viterbi pass over the whole stretch reconciles them. A tagged span
 is added where it touches no pattern span and stands up to its kind's rules (parts of an address, digits and check
 digit of a card, digits of a number).
@@ -33,7 +33,9 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|AT)\s?[)\]}]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|AT|dot|DOT)\s?[)\]}]")
+_AT = re.compile(r"[(\[{]\s?(?:at|AT)\s?[)\]}]")
+_HOST = re.compile(r"\s?[\w-]+(?:\.[\w-]+|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?[\w-]+)+")
 WINDOW, STRIDE, MARGIN = 64, 40, 20
 
 
@@ -323,11 +325,17 @@ def trained(windows: int = 3000, steps: int = 350, rows: int = 48, seed: int = 1
 # --- spans that the network adds
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """What lies around triggers, with MARGIN code points on either side."""
+    """What lies around triggers, with MARGIN code points on either side, and at the signs of an address the whole words there."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and lo <= out[-1][1]:
+        done = out[-1][1] if out else -1
+        lo, hi = max(0, m.start() - MARGIN), max(done, min(len(text), m.end() + MARGIN))
+        if not m.group().isdigit():
+            while lo > max(0, done) and not text[lo - 1].isspace():
+                lo -= 1
+            while 0 < hi < len(text) and not text[hi].isspace() and not text[hi - 1].isspace():
+                hi += 1
+        if out and lo <= done:
             out[-1][1] = hi
         else:
             out.append([lo, hi])
@@ -368,6 +376,19 @@ def plausible(kind: str, text: str) -> bool:
     return 8 <= len(number) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", text) is not None and any(c in text for c in " -()")
 
 
+def address(text: str, start: int, end: int) -> tuple[int, int]:
+    """Of a tagged span that holds a spelled-out at sign, the whole address around it: the network says where one is, its parts how far it goes."""
+    sign = _AT.search(text, start, end)
+    host = _HOST.match(text, sign.end()) if sign else None
+    if not host:
+        return start, end
+    last = sign.start() - (sign.start() > 0 and text[sign.start() - 1].isspace())
+    lo = last
+    while lo > 0 and (text[lo - 1] in _EMAIL_LEFT or lo > start and not text[lo - 1].isspace() and text[lo - 1] != "@"):
+        lo -= 1
+    return (lo, host.end()) if lo < last else (start, end)
+
+
 def spans_of(tags: np.ndarray, text: str) -> list[Span]:
     out = []
     t = 0
@@ -398,9 +419,11 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
     for (k, a, b), tags in zip(where, tagged(tagger, [texts[k][a:b] for k, a, b in where])):
         for kind, s, e in spans_of(tags, texts[k][a:b]):
             start, end = a + s, a + e
+            if kind == "email":
+                start, end = address(texts[k], start, end)
             # whole numbers only, and nothing that a pattern has found already
             cut = start and texts[k][start - 1].isdigit() or end < len(texts[k]) and texts[k][end].isdigit()
-            if not cut and plausible(kind, texts[k][start:end]) and all(end <= x or y <= start for _, x, y in base[k]):
+            if not cut and plausible(kind, texts[k][start:end]) and all(end <= x or y <= start for _, x, y in base[k]) and (kind, start, end) not in added[k]:
                 added[k].append((kind, start, end))
     return list(zip(base, added))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from llm import simhash
+from llm import pii, simhash
 
 
 def test_refrain_in_one_of_two_near_copies(spark):
@@ -26,3 +26,13 @@ def test_short_texts_at_the_threshold(spark):
         rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-1]))]
     found = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: i - i % 10 for i, _ in rows}
+
+
+def test_spelled_out_addresses_whole():
+    addresses = [
+        "jane.doe (at) university (dot) org", "jane (at) mail (dot) example (dot) org", "jane (at) city-hospital (dot) example (dot) de",
+        "a.very.long.local.part.of.a.name [at] mail [dot] example [dot] com", "maximiliana.featherstonehaugh-smythe (at) mail (dot) example (dot) org",
+    ]
+    texts = [f"write to {a} today, or not" for a in addresses]
+    found = pii.all_spans(texts, pii.trained())
+    assert [[t[a:b] for _, a, b in added] for t, (_, added) in zip(texts, found)] == [[a] for a in addresses]
