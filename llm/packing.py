@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from llm.common import documents, release, slices
 
-WINDOW, END, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 1 << 20, 16
+WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 20
 K1, B = 1.2, 0.75
 CACHE_ROWS, CACHE_CHARS = 400_000, 48
 _WHITE_RUN, _GAP = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
@@ -102,16 +102,14 @@ class Bm25Index:
         self.df = df
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's QUERY_TERMS heaviest terms, best first, ties by position."""
+        """Unused documents that share a term with the seed, best first, ties by position."""
         lo, hi = self.before[seed], self.before[seed + 1]
         terms = self.term[lo:hi]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], self.weight[lo:hi][shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-weights, kind="stable")[:QUERY_TERMS]]
+        terms = terms[self.df[terms] > 1]
         if not len(terms):
             return terms
-        parts = [slice(self.ends[t] - self.df[t], self.ends[t]) for t in terms]
+        ends = self.ends[terms]
+        parts = list(map(slice, (ends - self.df[terms]).tolist(), ends.tolist()))
         doc = np.concatenate([self.of_doc[p] for p in parts])
         score = np.bincount(doc, np.concatenate([self.of_weight[p] for p in parts]), len(used))
         score[used] = 0

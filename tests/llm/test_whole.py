@@ -2,7 +2,9 @@
 
 import random
 
-from llm import pii, simhash
+import numpy as np
+
+from llm import packing, pii, simhash
 
 
 def test_refrain_in_one_of_two_near_copies(spark):
@@ -36,3 +38,17 @@ def test_spelled_out_addresses_whole():
     texts = [f"write to {a} today, or not" for a in addresses]
     found = pii.all_spans(texts, pii.trained())
     assert [[t[a:b] for _, a, b in added] for t, (_, added) in zip(texts, found)] == [[a] for a in addresses]
+
+
+def test_neighbours_by_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [np.sort(rng.choice(600, 60, replace=False)) for _ in range(40)]
+    index = packing.Bm25Index(np.concatenate(docs).astype(np.int64), np.full(40, 60))
+    used = np.arange(40) % 3 == 0
+    score = {}
+    for d in np.flatnonzero(~used).tolist():
+        mine = dict(zip(index.term[index.before[d] : index.before[d + 1]].tolist(), index.weight[index.before[d] : index.before[d + 1]].tolist()))
+        score[d] = sum(mine.get(t, 0.0) for t in docs[0].tolist())
+    found = index.neighbours(0, used).tolist()
+    assert set(found) == {d for d in score if score[d] > 0}
+    assert all(score[a] >= score[b] - 1e-6 for a, b in zip(found, found[1:]))
