@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker looks at together; longer documents stand alone.
@@ -28,12 +29,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,6 +60,29 @@ def remove_written(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def rows_named(docs: DataFrame, stays: DataFrame, digest: Column) -> DataFrame:
+    """The rows of docs, with all their columns, that stays (doc_id, digest, n) names by doc_id (null equals null) and the
+    digest of their text. n: how many rows of docs have both; of such repeated rows one is taken."""
+    key, sha, other, n = fresh(docs, "stays_id", "row_digest", "stays_digest", "stays_n")
+    named = stays.select(F.col("doc_id").alias(key), F.col("digest").alias(other), F.col("n").alias(n))
+    rows = docs.withColumn(sha, digest).join(named, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(other)))
+    if not stays.where("n > 1").isEmpty():
+        rows = rows.where(F.col(n) == 1).unionByName(rows.where(F.col(n) > 1).dropDuplicates(["doc_id", sha]))
+    return rows.select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions: set by whoever knows the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -1,30 +1,38 @@
 """Exact deduplication by a log-structured merge index over text digests.
 
-Every scan task owns an index: a memtable of digests (with the texts they stand for) that is flushed as a sorted run
-with a Bloom filter once it is full; runs are compacted, the smallest identifier of a digest wins. A hit in the
-memtable is verified byte by byte at once. Hits between runs or tasks meet in shards of the digest space, where the
-texts of the runs' representatives are fetched and compared. Nothing but pre-aggregated classes (one row for a text
-and run, however many copies the run saw) goes through a shuffle, so a text that fills a third of the table costs a
-shard one row a run.
-
-Defined results: null text counts as empty; a null doc_id sorts before all others and stays null; of repeated rows
-(same doc_id, same text) exactly one is kept; an empty table gives an empty result; further columns are ignored.
+Every scan task fills a memtable, digest -> class of equal texts; a hit there is verified byte by byte at once. A full
+memtable is flushed: its digests, sorted, become a run with a Bloom filter for each shard of the digest space, and the
+texts they stand for go to a value log. A shard takes the runs of all tasks one after another into its index. Each new
+run's digests are looked up in the runs that stand already, through their filters; digests found are hits. Once more
+than FANOUT runs of one level stand, they are compacted into one of the next: of equal digests the entry with the
+smallest identifier is kept, the others leave the index as hits. So a shard's memory is that of its distinct digests,
+however often they come, and a text that fills a third of the table costs a shard one entry a run.
+
+Hits are settled by bytes: their texts are fetched from the value log and compared with the text of the entry that the
+index kept, as a join whose hot keys adaptive execution can split. Only texts that differ from it though their digests
+are equal are grouped by digest and compared with each other.
+
+Defined results: null text counts as empty; a null doc_id stays only where all rows of a text have none; of repeated rows
+(same doc_id, same text) exactly one is kept; an empty table gives an empty result; further columns, whatever their
+names, are ignored here and kept by deduplicated().
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, partitions, plain, slices, written
+from llm.common import documents, partitions, plain, rows_named, slices, written
 
-LEAST = -(1 << 63)
-MEMTABLE_BYTES, MEMTABLE_ROWS, FANOUT = 16 << 20, 200_000, 4
+MEMTABLE_BYTES, FANOUT = 16 << 20, 4
+#: Identifiers as they are ordered: a row without doc_id comes after all others.
+NO_ID = (1 << 63) - 1
 
 
 class Bloom:
@@ -55,174 +63,241 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+@dataclass
 class Run:
-    """A sorted run: digests without repeats, the smallest identifier of each, a filter."""
+    """A sorted run: digests without repeats, and for each the entry with the smallest identifier.
 
-    def __init__(self, keys: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.ones(len(keys), np.bool_)
-        first[1:] = keys[1:] != keys[:-1]
-        self.keys, self.ids = keys[first], ids[first]
-        self.filter = Bloom(_short(self.keys))
+    key: digest; id, row: the smallest identifier of its class and the row that has it; rep: the row whose text stands in
+    the value log; n: rows of the class; hit: whether the digest has been found in another run.
+    """
+
+    key: np.ndarray
+    id: np.ndarray
+    row: np.ndarray
+    rep: np.ndarray
+    n: np.ndarray
+    hit: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.filter = Bloom(_short(self.key))
+
+    def __len__(self) -> int:
+        return len(self.key)
 
-    def get(self, key: np.ndarray) -> int | None:
-        if not self.filter.maybe(_short(key))[0]:
-            return None
-        at = int(np.searchsorted(self.keys, key[0]))
-        return int(self.ids[at]) if at < len(self.keys) and self.keys[at] == key[0] else None
+    def take(self, at: np.ndarray) -> dict[str, np.ndarray]:
+        return {f.name: getattr(self, f.name)[at] for f in fields(self)}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't here; only what the filter lets through is searched."""
+        out = np.full(len(keys), -1, np.int64)
+        maybe = np.flatnonzero(self.filter.maybe(_short(keys)))
+        if len(maybe) and len(self.key):
+            at = np.minimum(np.searchsorted(self.key, keys[maybe]), len(self.key) - 1)
+            found = self.key[at] == keys[maybe]
+            out[maybe[found]] = at[found]
+        return out
 
 
 class LsmIndex:
-    """digest -> smallest identifier. Digests are bytes of one width without trailing NULs lost: they are kept as void."""
-
-    def __init__(self, width: int, rows: int = MEMTABLE_ROWS):
-        self.kind, self.rows = np.dtype(f"S{2 * width}"), rows
-        self.memtable: dict[bytes, int] = {}
-        self.runs: list[Run] = []
-
-    def put(self, digest: bytes, identifier: int) -> None:
-        old = self.memtable.get(digest)
-        if old is None or identifier < old:
-            self.memtable[digest] = identifier
-        if len(self.memtable) >= self.rows:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.memtable:
-            keys = np.array([x.hex().encode() for x in self.memtable], self.kind)
-            self.runs.append(Run(keys, np.fromiter(self.memtable.values(), np.int64, len(keys))))
-            self.memtable.clear()
-            if len(self.runs) > FANOUT:
-                self.compact()
-
-    def compact(self) -> None:
-        """One run of all: of equal digests the smallest identifier is kept."""
-        if len(self.runs) > 1:
-            self.runs = [Run(np.concatenate([r.keys for r in self.runs]), np.concatenate([r.ids for r in self.runs]))]
-
-    def get(self, digest: bytes) -> int | None:
-        key = np.array([digest.hex().encode()], self.kind)
-        found = [x for x in (self.memtable.get(digest), *(r.get(key) for r in self.runs)) if x is not None]
+    """digest -> entry with the smallest identifier, as sorted runs in levels. lost: entries that others have superseded, with the rep of what superseded them at the time."""
+
+    def __init__(self, fanout: int = FANOUT):
+        self.fanout = fanout
+        self.levels: list[list[Run]] = []
+        self.lost: list[dict[str, np.ndarray]] = []
+        self.added = self.probed = self.compactions = 0
+
+    @property
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    def add(self, run: Run) -> None:
+        for old in self.runs:
+            at = old.find(run.key)
+            self.probed += 1
+            run.hit |= at >= 0
+            old.hit[at[at >= 0]] = True
+        self.added += 1
+        self._put(0, run)
+
+    def _put(self, level: int, run: Run) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) > self.fanout:
+            runs, self.levels[level] = self.levels[level], []
+            self._put(level + 1, self._merged(runs))
+
+    def _merged(self, runs: list[Run]) -> Run:
+        """One run of several: of equal digests the smallest identifier is kept."""
+        self.compactions += 1
+        all_ = {f.name: np.concatenate([getattr(r, f.name) for r in runs]) for f in fields(Run)}
+        order = np.lexsort((all_["row"], all_["id"], all_["key"]))
+        all_ = {name: values[order] for name, values in all_.items()}
+        new = np.ones(len(order), np.bool_)
+        new[1:] = all_["key"][1:] != all_["key"][:-1]
+        if not new.all():
+            self.lost.append({name: values[~new] for name, values in all_.items()})
+        return Run(**{name: values[new] for name, values in all_.items()})
+
+    def compact(self) -> Run | None:
+        """Everything in one run."""
+        runs = self.runs
+        if len(runs) > 1:
+            self.levels = [[self._merged(runs)]]
+        return self.runs[0] if runs else None
+
+    def get(self, key: bytes) -> int | None:
+        """The smallest identifier of a digest."""
+        found = []
+        for run in self.runs:
+            at = int(run.find(np.array([key], run.key.dtype))[0])
+            if at >= 0:
+                found.append(int(run.id[at]))
         return min(found) if found else None
 
 
-_FOUND = "kind int, row long, doc_id long, digest binary, sha binary, rep long, n long, best long, best_row long"
+def run_of(keys: list[bytes], ids, rows, reps, n) -> Run:
+    """A sorted run of classes whose digests differ."""
+    array = _keys(keys)
+    order = np.lexsort((np.asarray(rows, np.int64), np.asarray(ids, np.int64), array))
+    return Run(array[order], *[np.asarray(x, np.int64)[order] for x in (ids, rows, reps, n)], np.zeros(len(order), np.bool_))
+
+
+def _keys(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), f"S{len(digests[0])}") if digests else np.zeros(0, "S1")
+
 
+_ENTRY = np.dtype([("id", "<i8"), ("row", "<i8"), ("rep", "<i8"), ("n", "<i8")])
+_SCAN = pa.schema([("kind", pa.int8()), ("row", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("rep", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("entries", pa.binary()), ("text", pa.binary())])
+_SCAN_SQL = "kind byte, row long, doc_id long, sha binary, rep long, shard int, keys binary, entries binary, text binary"
+ROW, RUN, VALUE = 0, 1, 2
 
-def _scan(digest_bytes: int, memtable_bytes: int, prefer: int):
-    """Documents -> a row each (kind 0) and a row for each text of each memtable (kind 1: copies, best identifier)."""
+
+def _batch(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int8()) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCAN], schema=_SCAN)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of the digest space."""
+    return ((_short(keys).byteswap() >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _scan(digest_bytes: int, memtable_bytes: int, largest: bool, shards: int):
+    """Documents -> a row each (ROW), the flushed runs by shard (RUN), and the value log (VALUE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 36
-        # digest -> classes [text, row of the first, copies, (best identifier, its row)]; more than one where digests collide
-        held: dict[bytes, list[list]] = {}
-        weight, row = 0, base
-
-        def classes() -> pa.RecordBatch:
-            found = [(d, c) for d, cs in held.items() for c in cs]
-            return _batch(1, [c[1] for _, c in found], [c[4] for _, c in found], [d for d, _ in found], [None] * len(found), [c[1] for _, c in found], [c[2] for _, c in found], [c[3][0] for _, c in found], [c[3][1] for _, c in found])
+        row = TaskContext.get().partitionId() << 36
+        # digest -> classes [text, rep, rows, smallest identifier, its row]; more than one where digests collide
+        memtable: dict[bytes, list[list]] = {}
+        weight = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = [c for cs in memtable.values() for c in cs]
+            for at in range(0, len(found), 1000):
+                part = found[at : at + 1000]
+                yield _batch(VALUE, rep=[c[1] for c in part], text=[c[0] for c in part])
+            depth = max(map(len, memtable.values()))
+            for k in range(depth):  # a run holds a digest once
+                part = [(d, cs[k]) for d, cs in memtable.items() if len(cs) > k]
+                sorted_run = run_of([d for d, _ in part], [c[3] for _, c in part], [c[4] for _, c in part], [c[1] for _, c in part], [c[2] for _, c in part])
+                shard = shard_of(sorted_run.key, shards)
+                cuts = np.searchsorted(shard, np.arange(shards + 1))
+                entries = np.empty(len(sorted_run), _ENTRY)
+                for name in _ENTRY.names:
+                    entries[name] = getattr(sorted_run, name)
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                yield _batch(RUN, row=[row] * len(full), shard=full, keys=[sorted_run.key[cuts[s] : cuts[s + 1]].tobytes() for s in full], entries=[entries[cuts[s] : cuts[s + 1]].tobytes() for s in full])
 
         for batch in slices(batches):
-            ids = batch.column(0).to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(ids, plain(batch.column(1)).to_pylist()):
+            out: list[list] = [[], [], [], []]
+            for doc_id, text in zip(batch.column(0).to_pylist(), plain(batch.column(1)).to_pylist()):
                 text = text.lower()  # of bytes: A-Z only
                 sha = hashlib.sha256(text).digest()
                 digest = sha[:digest_bytes]
-                known = LEAST if doc_id is None else doc_id
-                mine = (known * prefer if known != LEAST else 1 << 62, row)
-                for c in held.setdefault(digest, []):
+                known = NO_ID if doc_id is None else ~doc_id if largest else doc_id
+                for c in memtable.setdefault(digest, []):
                     if c[0] == text:  # byte verification
                         c[2] += 1
-                        c[3] = min(c[3], mine)
+                        if (known, row) < (c[3], c[4]):
+                            c[3], c[4] = known, row
                         break
                 else:
-                    c = [text, row, 1, mine, doc_id]
-                    held[digest].append(c)
+                    c = [text, row, 1, known, row]
+                    memtable[digest].append(c)
                     weight += len(text) + 200
-                for column, x in zip(out, (row, doc_id, digest, sha, c[1])):
+                for column, x in zip(out, (row, doc_id, sha, c[1])):
                     column.append(x)
                 row += 1
-            n = len(out[0])
-            yield _batch(0, *out, [1] * n, [None] * n, [None] * n)
-            if weight > memtable_bytes:
-                yield classes()
-                held, weight = {}, 0
-        if held:
-            yield classes()
+                if weight > memtable_bytes:
+                    yield from flush()
+                    memtable, weight = {}, 0
+            yield _batch(ROW, **dict(zip(("row", "doc_id", "sha", "rep"), out)))
+        if memtable:
+            yield from flush()
 
     return run
 
 
-def _batch(kind: int, row, doc_id, digest, sha, rep, n, best, best_row) -> pa.RecordBatch:
-    long = pa.int64()
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(row), pa.int32()), pa.array(row, long), pa.array(doc_id, long), pa.array(digest, pa.binary()), pa.array(sha, pa.binary()), pa.array(rep, long), pa.array(n, long), pa.array(best, long), pa.array(best_row, long)],
-        names=[x.split()[0] for x in _FOUND.split(", ")],
-    )
+_CLASSES = "rep long, digest binary, first long, n long, id long, row long, hit boolean, runs long, probes long, compactions long"
 
 
 def _shard(digest_bytes: int):
-    """A shard's runs, sorted by digest -> for each class whether its digest recurs in the shard (so that it needs verification)."""
+    """A shard's runs, sorted by shard and flush -> its entries: those the index kept (first = rep) and those it gave up; with the shard's numbers of runs, lookups and compactions."""
+    def closed(index: LsmIndex) -> Iterator[pa.RecordBatch]:
+        kept = index.compact()
+        if kept is None:
+            return
+        for part in [kept.take(slice(None)), *index.lost]:
+            at = kept.find(part["key"])
+            n = len(at)
+            data = part["key"].tobytes()  # single items of numpy lose their trailing NULs
+            raw = [data[k : k + digest_bytes] for k in range(0, len(data), digest_bytes)]
+            numbers = [np.full(n, x) for x in (index.added, index.probed, index.compactions)]
+            yield pa.RecordBatch.from_arrays([pa.array(part["rep"]), pa.array(raw, pa.binary()), pa.array(kept.rep[at]), pa.array(part["n"]), pa.array(part["id"]), pa.array(part["row"]), pa.array(part["hit"]), *[pa.array(x, pa.int64()) for x in numbers]], names=[x.split()[0] for x in _CLASSES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = LsmIndex(digest_bytes)
-        last, kept = None, []
-
-        def close() -> list[tuple]:
-            """The digest's classes; the first of them is the one that the index names."""
-            for x in kept:
-                index.put(x[0], x[1])
-            names = index.get(kept[0][0])
-            index.memtable.clear()  # a sorted stream never comes back to a digest
-            return [(x[1], x[0], x[2], names, len(kept) > 1) for x in kept]
-
+        now, index = None, LsmIndex()
         for batch in batches:
-            out = []
-            for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if x[0] != last and kept:
-                    out += close()
-                    kept = []
-                last = x[0]
-                kept.append(x)
-            yield _shard_batch(out)
-        if kept:
-            yield _shard_batch(close())
+            for shard, keys, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if shard != now:
+                    yield from closed(index)
+                    now, index = shard, LsmIndex()
+                e = np.frombuffer(entries, _ENTRY)
+                index.add(Run(np.frombuffer(keys, f"S{digest_bytes}"), *[e[name].copy() for name in _ENTRY.names], np.zeros(len(e), np.bool_)))
+        yield from closed(index)
 
     return run
 
 
-def _shard_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()))], names=["rep", "digest", "doc_id", "first", "recurs"])
-
-
-def _verify(digest_bytes: int):
-    """Texts of the representatives of recurring digests, sorted by digest -> the class of each: representatives of one class are equal in every byte."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, []
-        for batch in batches:
-            reps, names = [], []
-            for digest, rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), plain(batch.column(2)).to_pylist()):
-                text = text.lower()
-                if hashlib.sha256(text).digest()[:digest_bytes] != digest:
-                    continue  # another text under a repeated doc_id
-                if digest != last:
-                    last, seen = digest, []
-                for other, name in seen:
-                    if other == text:
-                        break
-                else:
-                    seen.append((text, name := rep))
-                reps.append(rep)
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(names, pa.int64())], names=["rep", "class"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of equal digests that differ from the text the index kept, sorted by digest -> the class of each: texts of one class are equal in every byte."""
+    last, seen = None, []
+    for batch in slices(batches):
+        names = []
+        for digest, rep, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            if digest != last:
+                last, seen = digest, []
+            for other, name in seen:
+                if other == text:
+                    break
+            else:
+                seen.append((text, name := rep))
+            names.append(name)
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.int64())], names=["rep", "class"])
+
+
+def index_tables(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32, memtable_bytes: int = MEMTABLE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The scan's table (rows, runs and value log) and the entries of all shards, both in the shared folder."""
+    spark = docs.sparkSession
+    shards = partitions(spark)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = written(source.mapInArrow(_scan(digest_bytes, memtable_bytes, {"smallest": False, "largest": True}[keep], shards), _SCAN_SQL), "exact-scan")
+    runs = found.where(F.col("kind") == RUN).select("shard", "keys", "entries", "row").repartition(shards, "shard").sortWithinPartitions("shard", "row")
+    return found, written(runs.mapInArrow(_shard(digest_bytes), _CLASSES), "exact-shards")
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32, memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:
@@ -232,44 +307,35 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest_bytes: int
     digest_bytes: width of the index key; shorter keys collide, which verification sorts out.
     """
     spark = docs.sparkSession
-    prefer = {"smallest": 1, "largest": -1}[keep]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(source.mapInArrow(_scan(digest_bytes, memtable_bytes, prefer), _FOUND), "exact-scan")
-    runs = found.where("kind = 1").select("digest", "rep", "doc_id").repartition(partitions(spark), "digest").sortWithinPartitions("digest", "rep")
-    shards = written(runs.mapInArrow(_shard(digest_bytes), "rep long, digest binary, doc_id long, first long, recurs boolean"), "exact-shards")
-    doubted = shards.where("recurs").select("digest", "rep", F.col("doc_id").alias("its_id"))
-    texts = source.join(doubted, source["doc_id"].eqNullSafe(doubted["its_id"])).select("digest", "rep", "text")
-    verified = texts.repartition(partitions(spark), "digest").sortWithinPartitions("digest", "rep").mapInArrow(_verify(digest_bytes), "rep long, class long")
-    # a doc_id repeated with equal texts brings a representative twice; one row of it is enough
-    verified = verified.groupBy("rep").agg(F.min("class").alias("class"))
-    named = shards.where("not recurs").select("rep", F.col("rep").alias("class")).unionByName(verified)
-    sizes = found.where("kind = 1").select("rep", "n", F.struct("best", "best_row").alias("best"))
-    members = named.join(sizes, "rep")
+    found, entries = index_tables(docs, keep, digest_bytes, memtable_bytes)
+    doubted = entries.where("hit").select("rep", "digest", "first")
+    texts = found.where(F.col("kind") == VALUE).select(F.col("rep").alias("of"), "text")
+    texts = written(doubted.join(texts, F.col("rep") == F.col("of")).select("rep", "digest", "first", "text"), "exact-hits")
+    kept = texts.where("rep = first").select(F.col("first").alias("kept"), F.col("text").alias("kept_text"))
+    verdict = texts.where("rep <> first").join(kept, F.col("first") == F.col("kept"), "left").withColumn("same", F.coalesce(F.col("text") == F.col("kept_text"), F.lit(False)))
+    equal = verdict.where("same").select("rep", F.col("first").alias("class"))
+    apart = verdict.where("not same").select("digest", "rep", "text").repartition(partitions(spark), "digest").sortWithinPartitions("digest", "rep").mapInArrow(_verify, "rep long, class long")
+    named = entries.where("rep = first").select("rep", F.col("rep").alias("class")).unionByName(equal).unionByName(apart)
+    members = named.join(entries.select("rep", "n", F.struct("id", "row").alias("best")), "rep")
     totals = members.groupBy("class").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
     answer = members.select("rep", "class").join(totals, "class").select("rep", "group_size", "best")
-    rows = found.where("kind = 0").select("row", "doc_id", "sha", "rep")
-    unknown = F.col("best.best") == F.lit(1 << 62)
+    rows = found.where(F.col("kind") == ROW).select("row", "doc_id", "sha", "rep")
+    best = F.bitwise_not("best.id") if keep == "largest" else F.col("best.id")
     return rows.join(answer, "rep").select(
         "doc_id",
-        F.when(~unknown, F.col("best.best") * prefer).alias("keep_id"),
+        F.when(F.col("best.id") != NO_ID, best).alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("row") == F.col("best.best_row")).alias("kept"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def deduplicated(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns: one for each text. Rows are told by doc_id and text together, so that of a repeated doc_id each text is judged by itself."""
     found = exact_duplicates(docs, keep)
-    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    if again.isEmpty():
-        return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    left = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_again")), "left_anti").join(stays, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    repeated = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_again")), "left_semi").withColumn("_is", sha).dropDuplicates(["doc_id", "_is"])
-    repeated = repeated.join(stays, repeated["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_is") == F.col("_sha")), "left_semi").drop("_is")
-    return left.unionByName(repeated)
+    stays = found.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept")
+    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
+    return rows_named(docs, written(stays.select("doc_id", "digest", "n"), "exact-stays"), sha)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

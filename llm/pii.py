@@ -29,7 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 _EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Digits are taken whole: a match can't begin inside a run, and long runs are read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -52,7 +53,7 @@ def luhn(number: str) -> bool:
 
 
 def _ip_parts(text: str) -> bool:
-    return all(int(p[-4:]) <= 255 and (len(p) <= 3 or int(p) <= 255) for p in text.split("."))
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in text.split(".")))
 
 
 def base_spans(text: str) -> list[Span]:

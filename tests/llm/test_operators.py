@@ -81,16 +81,55 @@ def test_exact(docs, rows, keep, width):
 
 
 def test_lsm_index():
-    index = exact_dedup.LsmIndex(4, rows=7)
+    index = exact_dedup.LsmIndex()
     rng = random.Random(1)
-    known = {}
-    for _ in range(400):
-        key, value = rng.randrange(60).to_bytes(4, "big"), rng.randrange(1000)
-        index.put(key, value)
-        known[key] = min(value, known.get(key, value))
-    assert all(index.get(k) == v for k, v in known.items()) and index.get(b"none") is None
-    index.flush(), index.compact()
-    assert len(index.runs) == 1 and all(index.get(k) == v for k, v in known.items())
+    known, n = {}, 0
+    for flush in range(30):
+        keys = sorted({rng.randrange(60 + 400 * (flush % 2)).to_bytes(4, "little") for _ in range(20)})
+        values = [rng.randrange(1000) for _ in keys]
+        for k, v in zip(keys, values):
+            known.setdefault(k, []).append(v)
+        index.add(exact_dedup.run_of(keys, values, range(n, n + len(keys)), range(n, n + len(keys)), [1] * len(keys)))
+        n += len(keys)
+    assert all(index.get(k) == min(v) for k, v in known.items()) and index.get(b"none") is None and len(index.runs) > 1
+    run = index.compact()
+    assert index.added == 30 and index.compactions > 6 and index.probed > 30 and len(index.runs) == 1
+    assert len(run) == len(known) and all(index.get(k) == min(v) for k, v in known.items())
+    data = run.key.tobytes()
+    assert {data[4 * k : 4 * k + 4] for k in np.flatnonzero(run.hit)} == {k for k, v in known.items() if len(v) > 1}
+    assert sum(len(x["key"]) for x in index.lost) == n - len(known) and all(x["hit"].all() for x in index.lost)
+
+
+def test_filter():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    bloom = exact_dedup.Bloom(keys[:2000])
+    assert bloom.maybe(keys[:2000]).all() and bloom.maybe(keys[2000:]).mean() < 0.05
+
+
+def test_index_at_work(docs, rows):
+    """The query's own index: tasks flush several runs, shards look up and compact them, and the entries given up are the hits."""
+    found, entries = exact_dedup.index_tables(docs, "smallest", memtable_bytes=3000)
+    runs = found.where(f"kind = {exact_dedup.RUN}").collect()
+    shards = entries.groupBy("runs", "probes", "compactions").count().collect()
+    assert len({r.row for r in runs}) > 6 and sum(r.compactions for r in shards) >= 4 and sum(r.probes for r in shards) > len(runs)
+    assert all(list(exact_dedup.shard_of(np.frombuffer(r["keys"], "S32"), 4)) == [r.shard] * (len(r["keys"]) // 32) for r in runs)
+    lost = entries.where("rep <> first").collect()
+    assert lost and all(r.hit for r in lost) and entries.where("rep = first").count() == len({lower(t or "") for _, t in rows})
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    """Rows are told by doc_id and text: of a repeated doc_id each text is judged by itself."""
+    names = "stays_id", "row_digest", "stays_digest", "stays_n", "_id", "_sha", "_is", "_again", "_hit", "_n", "_k", "node", "component", "digest", "n", "kept", "sha", "size", "fp"
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    made = [(5, body), (5, "quite another text of its own, unlike the rest of them"), (1, body + " more"), (1, body + " more"), (None, body), (None, "apart"), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in made], "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    exact = exact_dedup.deduplicated(df)
+    assert exact.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in exact.collect()) == collections.Counter([(5, made[0][1]), (5, made[1][1]), (1, made[2][1]), (None, "apart"), (7, None)])
+    near = simhash.near_deduplicated(df)
+    assert near.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in near.collect()) == collections.Counter([(5, made[1][1]), (1, made[2][1]), (None, body), (None, "apart"), (7, None)])
 
 
 def test_packing(docs, rows):
