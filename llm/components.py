@@ -14,26 +14,31 @@ from llm.common import remove_written, written
 MOST_ROUNDS = 60
 
 
+def star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links -> a star around the least node of each of their components: the same connections in fewer links."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[label[moved]], nodes[moved]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition -> for each batch a star around the least node of each of its components: the same connections."""
+    """Links of a partition -> stars, for each batch."""
     for batch in batches:
-        u, v = (np.asarray(c, dtype=np.int64) for c in (batch.column(0), batch.column(1)))
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = at[: len(u)], at[len(u) :]
-        label = np.arange(len(nodes))
-        while True:
-            least = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, a, least)
-            np.minimum.at(new, b, least)
-            np.minimum.at(new, label[a], least)
-            np.minimum.at(new, label[b], least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = label != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+        least, node = star(*(np.asarray(c, dtype=np.int64) for c in (batch.column(0), batch.column(1))))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["u", "v"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:

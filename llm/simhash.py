@@ -4,18 +4,22 @@ Distinct fingerprints are grouped by the population counts of their PARTS parts.
 differ by no more than it in the sum of these counts, so a group is compared with itself and the few groups around it;
 all other tile pairs are skipped unseen. A group beyond TILE rows is split into tiles, each compared with every tile
 around it, so a task holds one tile and streams past it what it is compared with. A tile pair is one exclusive-or and
-one bit count in numpy.
+one bit count in numpy. Of the links that a task finds it tells only a star around the least node of each of their
+components, so n fingerprints that are all alike give n links. Beyond MANY distinct fingerprints there are twice as many
+parts: more copies of a fingerprint, each compared with a far smaller share of the others.
 
 Defined results: null text counts as empty; documents without words have fingerprint zero and are linked like any other;
 shorter ones have one shingle; a null doc_id is never the smallest of a class unless all are null; repeated rows stay
-rows of one class; an empty table gives an empty result; further columns are ignored.
+rows of one class; an empty table gives an empty result; further columns, whatever their names, are ignored here and kept
+by near_deduplicated(). That tells rows by doc_id and text, so that of a repeated doc_id each text is judged by itself;
+of rows equal in both one stays; rows without doc_id stay and link nothing.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import product, repeat
+from itertools import combinations_with_replacement, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, Block, blocks, documents, mix, partitions, release, slices, written
-from llm.components import connected_components
+from llm.common import SPACES, Block, blocks, documents, mix, partitions, release, rows_named, slices, written
+from llm.components import connected_components, star
 from llm.fingerprints import codes, likeness, shingles
 
 WIDTH, RADIUS, SEED = 3, 2, 42
-PARTS, TILE = 4, 1 << 15
+PARTS, TILE, MANY = 4, 1 << 15, 1 << 24
 BUCKETS, SHARES = 1 << 20, 16
 _BUCKET = np.uint64(44)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -98,11 +102,32 @@ def group_numbers(pops: np.ndarray) -> np.ndarray:
     return pops @ (65 ** np.arange(pops.shape[1], dtype=np.int64))
 
 
-def _routed(parts: int, radius: int, tiles: dict[int, int]):
-    """Rows of fingerprint, node and size -> (home tile, role 0: member of it, or 1: compared with its members)."""
-    around = [np.array(x) for x in product(range(-radius, radius + 1), repeat=parts) if 0 < sum(map(abs, x)) <= radius and x > (0,) * parts]
-    known = np.array(sorted(tiles), np.int64)
-    count = np.array([tiles[k] for k in known.tolist()], np.int64)
+def steps_around(parts: int, radius: int) -> list[np.ndarray]:
+    """Differences of population counts within the radius, one of each pair of opposites."""
+    out = set()
+    for n in range(1, radius + 1):
+        for where in combinations_with_replacement(range(parts), n):
+            for signs in product((-1, 1), repeat=n):
+                step = [0] * parts
+                for k, sign in zip(where, signs):
+                    step[k] += sign
+                out.add(tuple(step))
+    return [np.array(x) for x in sorted(out) if x > (0,) * parts]
+
+
+def _routed(parts: int, radius: int, tiles: dict[int, int], complete: bool):
+    """Rows of fingerprint, node and size -> (home tile, role 0: member of it, or 1: compared with its members).
+
+    tiles: how many tiles each group has; where that isn't complete, groups it doesn't name have one.
+    """
+    around = steps_around(parts, radius)
+    most = np.diff(np.linspace(0, 64, parts + 1).astype(int))
+    known = np.array(sorted(tiles) or [-1], np.int64)
+    tiles_of = np.array([tiles[k] for k in sorted(tiles)] or [0], np.int64)
+
+    def count(number: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, number), len(known) - 1)
+        return np.where(known[at] == number, tiles_of[at], 0 if complete else 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,20 +135,20 @@ def _routed(parts: int, radius: int, tiles: dict[int, int]):
             fp = fp.view(np.uint64)
             pops = populations(fp, parts)
             home = group_numbers(pops)
-            mine = np.searchsorted(known, home)
-            tile = ((mix(fp) ^ mix(node.view(np.uint64))) >> np.uint64(33)).astype(np.int64) % count[mine]
+            mine = count(home)
+            tile = ((mix(fp) ^ mix(node.view(np.uint64))) >> np.uint64(33)).astype(np.int64) % mine
             all_ = np.arange(len(fp))
             out = [(home, tile, np.zeros(len(fp), np.int8), all_)]
             # later tiles of the same group
-            for k in range(1, int(count[mine].max(initial=1))):
-                to = np.flatnonzero(tile + k < count[mine])
+            for k in range(1, int(mine.max(initial=1))):
+                to = np.flatnonzero(tile + k < mine)
                 out.append((home[to], tile[to] + k, np.ones(len(to), np.int8), to))
             for step in around:
                 near = pops + step
                 number = group_numbers(near)
-                at = np.minimum(np.searchsorted(known, number), len(known) - 1)
-                to = np.flatnonzero((near >= 0).all(1) & (known[at] == number))
-                n = count[at[to]]
+                n = count(number)
+                to = np.flatnonzero((near >= 0).all(1) & (near <= most).all(1) & (n > 0))
+                n = n[to]
                 which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 out.append((np.repeat(number[to], n), which, np.ones(n.sum(), np.int8), np.repeat(to, n)))
             home, tile, role, row = (np.concatenate(x) for x in zip(*out))
@@ -147,11 +172,15 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128, colum
                 yield i + p, j + q
 
 
-def _compared(radius: int, ratio: float):
-    """Rows sorted by home, tile and role -> links of different nodes, the smaller of whose sizes is at least ratio times the larger."""
+def _compared(radius: int, ratio: float, stars: bool, most: int = 1 << 20):
+    """Rows sorted by home, tile and role -> links of different nodes, the smaller of whose sizes is at least ratio times the larger; or stars with the same connections."""
+
+    def fewer(u: list[np.ndarray], v: list[np.ndarray]) -> np.ndarray:
+        both = np.stack([np.concatenate(u), np.concatenate(v)])
+        return np.stack(star(*both)) if stars else np.unique(both, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        now, held, n = None, None, 0
         for batch in batches:
             key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], 1)
             role = np.asarray(batch.column(2))
@@ -171,16 +200,20 @@ def _compared(radius: int, ratio: float):
                         fits = (x[0] != y[0]) & (np.minimum(x[1], y[1]) >= ratio * np.maximum(x[1], y[1]))
                         u.append(np.minimum(x[0], y[0])[fits])
                         v.append(np.maximum(x[0], y[0])[fits])
+                        n += len(u[-1])
+                        if n > most:
+                            found = fewer(u, v)
+                            u, v, n = [found[0]], [found[1]], 0
                 held = np.concatenate([held, members], 1)
             if u:
-                found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+                found = fewer(u, v)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
     return run
 
 
-def fingerprint_links(rows: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, ratio: float = 0.0) -> DataFrame:
-    """rows: fp, node, size (longs) -> pairs (u, v) of different nodes, u < v, whose fingerprints differ in no more than radius bits."""
+def fingerprint_links(rows: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, ratio: float = 0.0, stars: bool = False) -> DataFrame:
+    """rows: fp, node, size (longs) -> pairs (u, v) of different nodes, u < v, whose fingerprints differ in no more than radius bits; stars: fewer pairs with the same connections."""
     spark = rows.sparkSession
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +221,13 @@ def fingerprint_links(rows: DataFrame, radius: int = RADIUS, parts: int = PARTS,
             home, n = np.unique(group_numbers(populations(np.asarray(batch.column(0)).view(np.uint64), parts)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(n)], names=["home", "n"])
 
-    # at most (64 / parts + 1) ** parts groups, whatever the size of the table
-    counted = rows.select("fp").mapInArrow(sizes, "home long, n long").groupBy("home").agg(F.sum("n").alias("n")).collect()
-    tiles = {r.home: -(-r.n // tile) for r in counted}
-    routed = rows.select("fp", "node", "size").mapInArrow(_routed(parts, radius, tiles), "home long, tile long, role byte, fp long, node long, size long")
+    # up to four parts there are at most 17 ** 4 groups, whatever the size of the table; of more only those of several tiles are named
+    complete = parts <= PARTS
+    counted = rows.select("fp").mapInArrow(sizes, "home long, n long").groupBy("home").agg(F.sum("n").alias("n"))
+    tiles = {r.home: -(-r.n // tile) for r in (counted if complete else counted.where(F.col("n") > tile)).collect()}
+    routed = rows.select("fp", "node", "size").mapInArrow(_routed(parts, radius, tiles, complete), "home long, tile long, role byte, fp long, node long, size long")
     routed = routed.repartition(partitions(spark), "home", "tile").sortWithinPartitions("home", "tile", "role")
-    return routed.mapInArrow(_compared(radius, ratio), "u long, v long")
+    return routed.mapInArrow(_compared(radius, ratio, stars), "u long, v long")
 
 
 def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -201,7 +235,8 @@ def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(source.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "simhash")
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    parts = connected_components(fingerprint_links(distinct.select("fp", F.col("fp").alias("node"), F.lit(1).cast("long").alias("size")), radius))
+    nodes = distinct.select("fp", F.col("fp").alias("node"), F.lit(1).cast("long").alias("size"))
+    parts = connected_components(fingerprint_links(nodes, radius, PARTS if distinct.count() <= MANY else 2 * PARTS, stars=True))
     named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.select("fp", "component").join(least, "component").select("fp", "component_id")
@@ -263,70 +298,106 @@ def _sketches(width: int, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fp, size, prefix, sketch = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 sums, n, parts = prefixes(*shingles(block, width), len(block), counts, similarity)
                 fp.append(sums)
                 size.append(n)
                 prefix += parts.tolist()
                 sketch += [row.tobytes() for row in codes(block, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp).view(np.int64)), pa.array(np.concatenate(size)), pa.array(sketch, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "fp", "size", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fp).view(np.int64)), pa.array(np.concatenate(size)), pa.array(sketch, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "digest", "node", "size", "sketch", "prefix"])
 
     return run
 
 
-_POSTING = np.dtype([("hash", "<u4"), ("size", "<u4"), ("node", "<i8")])
+_POSTING = np.dtype([("hash", "<u4"), ("size", "<u4"), ("node", "<i8"), ("class", "<i8")])
 
 
 def _postings(parts: int):
-    """Rows of node, size and prefix -> the prefixes' hashes by parts of the hash space, with size and node."""
+    """Rows of node, size, class and prefix -> the prefixes' hashes by parts of the hash space, with size, node and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000):
-            found = batch.column(2).to_pylist()
+            found = batch.column(3).to_pylist()
             hashes = np.frombuffer(b"".join(found), np.uint64)
             row = np.repeat(np.arange(len(found)), [len(x) // 8 for x in found])
             part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             at = np.argsort(part, kind="stable")
             out = np.empty(len(at), _POSTING)
-            out["hash"], out["size"], out["node"] = hashes[at].astype(np.uint32), np.asarray(batch.column(1))[row[at]], np.asarray(batch.column(0))[row[at]]
+            out["hash"] = hashes[at].astype(np.uint32)
+            for k, name in enumerate(("node", "size", "class")):
+                out[name] = np.asarray(batch.column(k))[row[at]]
             which, begin = np.unique(part[at], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(which), pa.array([x.tobytes() for x in np.split(out, begin[1:])] if len(which) else [], pa.binary())], names=["part", "postings"])
 
     return run
 
 
+def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+
+
+def neighbouring(postings: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs (u < v, two rows) of nodes of different classes that stand next to each other by size under a hash, where their sizes allow the similarity."""
+    postings = postings[np.lexsort((postings["node"], postings["size"], postings["hash"]))]
+    a, b = postings[:-1], postings[1:]
+    fits = (a["hash"] == b["hash"]) & (a["size"] >= similarity * b["size"] - 1e-9) & (a["class"] != b["class"])
+    return _pairs(a["node"][fits], b["node"][fits])
+
+
 def sharing(postings: np.ndarray, similarity: float, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Pairs (u < v, two rows) of different nodes that share a hash and whose sizes allow the similarity, each once a yield."""
+    """Pairs (u < v, two rows) of nodes of different classes that share a hash and whose sizes allow the similarity, each once a yield.
+
+    Under each hash only the nodes outside its commonest class look for partners: two nodes of that class need none.
+    """
     postings = postings[np.lexsort((postings["size"], postings["hash"]))]
-    hash_, size, node = (np.ascontiguousarray(postings[k]) for k in ("hash", "size", "node"))
-    held, n, step = [], 0, 1
-    at = np.arange(len(hash_))
-    while len(at):
-        at = at[at + step < len(hash_)]
-        for lo in range(0, len(at), most):
-            some = at[lo : lo + most]
-            # sizes ascend under a hash: where one is too large, so are all after it
-            fits = (hash_[some] == hash_[some + step]) & (size[some] >= similarity * size[some + step] - 1e-9)
-            at[lo : lo + most] = np.where(fits, some, -1)
-            u, v = node[some[fits]], node[some[fits] + step]
-            held.append(np.stack([np.minimum(u, v), np.maximum(u, v)])[:, u != v])
-            n += held[-1].shape[1]
-            if n >= most:
-                yield np.unique(np.concatenate(held, 1), axis=1)
-                held, n = [], 0
-        at, step = at[at >= 0], step + 1
-    if n:
-        yield np.unique(np.concatenate(held, 1), axis=1)
-
-
-def _sharing(similarity: float):
+    if not len(postings):
+        return
+    hash_, size, node, class_ = (np.ascontiguousarray(postings[k]) for k in ("hash", "size", "node", "class"))
+    group = np.cumsum(np.concatenate([[0], hash_[1:] != hash_[:-1]]))
+    by = np.lexsort((class_, group))
+    heads = np.flatnonzero(np.concatenate([[True], (group[by][1:] != group[by][:-1]) | (class_[by][1:] != class_[by][:-1])]))
+    n = np.diff(np.append(heads, len(by)))
+    order = np.lexsort((n, group[by[heads]]))
+    last = np.flatnonzero(np.append(np.diff(group[by[heads]][order]) != 0, True))
+    common = class_[by[heads]][order][last]
+    seekers = np.flatnonzero(class_ != common[group])
+    key = group.astype(np.int64) << 32 | size
+    base = group[seekers].astype(np.int64) << 32
+    low = np.searchsorted(key, base + np.ceil(similarity * size[seekers] - 1e-9).astype(np.int64))
+    high = np.searchsorted(key, base + np.minimum(np.floor(size[seekers] / similarity + 1e-9).astype(np.int64), 0xFFFFFFFF), "right")
+    done = np.concatenate([[0], np.cumsum(high - low)])
+    at = 0
+    while at < len(seekers):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + most, "right")) - 1)
+        count = (high - low)[at:to]
+        one = np.repeat(seekers[at:to], count)
+        other = np.arange(done[to] - done[at]) + np.repeat(low[at:to] - (done[at:to] - done[at]), count)
+        apart = class_[one] != class_[other]
+        if apart.any():
+            yield _pairs(node[one[apart]], node[other[apart]])
+        at = to
+
+
+def several(postings: np.ndarray) -> np.ndarray:
+    """The postings of hashes that nodes of more than one class hold."""
+    postings = postings[np.argsort(postings["hash"], kind="stable")]
+    if not len(postings):
+        return postings
+    starts = np.flatnonzero(np.concatenate([[True], postings["hash"][1:] != postings["hash"][:-1]]))
+    class_ = np.ascontiguousarray(postings["class"])
+    mixed = np.minimum.reduceat(class_, starts) != np.maximum.reduceat(class_, starts)
+    return postings[np.repeat(mixed, np.diff(np.append(starts, len(postings))))]
+
+
+def _sharing(similarity: float, chains: bool):
     """Rows of part and postings, sorted by part -> pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            for found in sharing(np.frombuffer(b"".join(held), _POSTING), similarity):
+            postings = several(np.frombuffer(b"".join(held), _POSTING))
+            for found in [neighbouring(postings, similarity)] if chains else sharing(postings, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
         for batch in batches:
@@ -341,11 +412,11 @@ def _sharing(similarity: float):
     return run
 
 
-def prefix_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes: node, size, prefix -> pairs (u, v) of different nodes, u < v, which share a hash of their prefixes: all of at least the similarity, and some others."""
+def prefix_links(nodes: DataFrame, similarity: float, chains: bool = False) -> DataFrame:
+    """nodes: node, size, class, prefix -> pairs (u, v) of nodes of different classes, u < v, which share a hash of their prefixes: all of at least the similarity, and some others; chains: only those next to each other by size under a hash."""
     parts = partitions(nodes.sparkSession)
-    found = nodes.select("node", "size", "prefix").mapInArrow(_postings(parts), "part long, postings binary")
-    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sharing(similarity), "u long, v long").distinct()
+    found = nodes.select("node", "size", "class", "prefix").mapInArrow(_postings(parts), "part long, postings binary")
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sharing(similarity, chains), "u long, v long").distinct()
 
 
 def _likened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,53 +428,71 @@ def _likened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _jaccard(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 100):
-            found = []
-            sets: list[list[set]] = []
+            sets: list[list[np.ndarray]] = []
             for k in (2, 3):
-                mine: list[set] = []
+                mine: list[np.ndarray] = []
                 for block in blocks(batch.column(k)):
-                    hashes, places = shingle_hashes(block, width)
-                    mine += [set(hashes[a:b].tolist()) for a, b in zip(places, places[1:])]
+                    hashes, owner = shingles(block, width)
+                    order = np.lexsort((hashes, owner))
+                    cuts = np.searchsorted(owner[order], np.arange(len(block) + 1))
+                    mine += [np.unique(hashes[order[a:b]]) for a, b in zip(cuts, cuts[1:])]
                 sets.append(mine)
+            found = []
             for a, b in zip(*sets):
-                found.append(len(a & b) / len(a | b) if a or b else 1.0)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                found.append(both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "near"])
 
     return run
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doubt: float = 0.1, short: int = 128) -> DataFrame:
-    """doc_id and component_id of each row: classes of texts linked by a Jaccard index of their shingles of at least similarity.
-
-    Candidates come from prefixes of the sorted shingles, of which two such texts always share one. Candidate pairs are
-    likened by sketches; those within doubt of the threshold (five standard errors), and those with a text of fewer than
-    short shingles, on which sketches are coarse, are compared in full. Texts of the same set of shingles are one node.
+    """doc_id, component_id, and digest (sha256 of the text) of each row with a doc_id: classes of texts linked by a Jaccard index of their shingles of at least similarity.
+
+    Texts of the same set of shingles are one node. Candidates come from prefixes of the sorted shingles, of which two
+    such texts always share one. First only texts that stand next to each other by size under a shared shingle are
+    compared; what that links is a class. Then all others that share a shingle are, but for those of one class already:
+    so a group of n copies gives about n pairs under each shingle, and no link between classes is lost. Candidate pairs
+    are likened by sketches; those within doubt of the threshold (five standard errors), and those with a text of fewer
+    than short shingles, on which sketches are coarse, are compared in full.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    found = written(source.mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, fp long, size long, sketch binary, prefix binary"), "near-scan")
-    nodes = written(found.groupBy("fp", "size").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
-    pairs = written(prefix_links(nodes, similarity), "near-pairs")
-    of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("size").alias(f"size_{name}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    is_short = F.least("size_u", "size_v") < short
-    likened = written(
-        both.where(~is_short).select("u", "v", "sketch_u", "sketch_v").mapInArrow(_likened, "u long, v long, near double").where(F.col("near") >= similarity - doubt)
-        .unionByName(both.where(is_short).select("u", "v", F.lit(similarity).cast("double").alias("near"))), "near-liken",
-    )
-    sure = likened.where(F.col("near") >= similarity + doubt).select("u", "v")
-    text = lambda name: source.select(F.col("doc_id").alias(name), F.coalesce("text", F.lit("")).alias(f"text_{name}"))
-    unsure = likened.where(F.col("near") < similarity + doubt).select("u", "v")
-    full = unsure.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard(width), "u long, v long, near double")
-    links = sure.unionByName(full.where(F.col("near") >= similarity).select("u", "v"))
-    parts = connected_components(links)
-    named = nodes.join(parts, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
-    return found.select("doc_id", "fp", "size").join(named, ["fp", "size"]).select("doc_id", "component_id")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("digest", F.sha2("text", 256))
+    found = written(source.select("doc_id", "digest", "text").mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, digest string, node long, size long, sketch binary, prefix binary"), "near-scan")
+    nodes = written(found.groupBy("node", "size").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar."""
+        of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("size").alias(f"size_{name}"))
+        both = pairs.join(of("u"), "u").join(of("v"), "v")
+        is_short = F.least("size_u", "size_v") < short
+        likened = written(
+            both.where(~is_short).select("u", "v", "sketch_u", "sketch_v").mapInArrow(_likened, "u long, v long, near double").where(F.col("near") >= similarity - doubt)
+            .unionByName(both.where(is_short).select("u", "v", F.lit(similarity).cast("double").alias("near"))), "near-liken",
+        )
+        unsure = likened.where(F.col("near") < similarity + doubt).select("u", "v")
+        wanted = unsure.select(F.col("u").alias("node")).unionByName(unsure.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.digest").alias("digest"))
+        texts = written(source.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text"), "near-texts")
+        text = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+        full = unsure.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard(width), "u long, v long, near double")
+        return likened.where(F.col("near") >= similarity + doubt).select("u", "v").unionByName(full.where(F.col("near") >= similarity).select("u", "v"))
+
+    first = written(compared(written(prefix_links(nodes.withColumn("class", F.col("node")), similarity, chains=True), "near-pairs")), "near-links")
+    parts = connected_components(first).withColumnRenamed("component", "class")
+    classed = nodes.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    second = compared(written(prefix_links(classed, similarity), "near-pairs"))
+    parts = connected_components(first.unionByName(second))
+    named = written(nodes.join(parts, "node", "left").select("node", "size", "least", F.coalesce("component", "node").alias("component")), "near-named")
+    least = named.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
+    return found.select("doc_id", "digest", "node", "size").join(named.join(least, "component").select("node", "size", "component_id"), ["node", "size"]).select("doc_id", "component_id", "digest")
 
 
 def near_deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class, with all their columns; rows without doc_id stay."""
-    goes = similar_classes(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(goes, docs["doc_id"] == F.col("_id"), "left_anti")
+    """The rows of docs that have the smallest doc_id of their class (of several the one whose digest comes first), with all their columns; rows without doc_id stay."""
+    found = written(similar_classes(docs, width, similarity), "near-classes")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("least")).select("least.doc_id", "least.digest")
+    stays = found.join(first, ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    kept = rows_named(docs, written(stays, "near-stays"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,53 @@ def test_tiles(spark):
         assert {(r.u, r.v) for r in simhash.fingerprint_links(df, radius, parts, tile).collect()} == want
 
 
+def test_stars(spark):
+    """Stars connect what all pairs connect; eight parts find what four do."""
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    hot = fp[0] ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))
+    near = fp[:80] ^ (np.uint64(1) << rng.integers(0, 64, 80).astype(np.uint64))
+    fp = np.unique(np.concatenate([fp, near, hot]))
+    df = spark.createDataFrame([(int(x), int(x), 1) for x in fp.view(np.int64)], "fp long, node long, size long")
+    pairs = [(r.u, r.v) for r in simhash.fingerprint_links(df).collect()]
+    linked = set(pairs)
+    want = classes(sorted(fp.view(np.int64).tolist()), lambda a, b: (a, b) in linked)
+    assert len(pairs) > 60 * 59 / 2
+    for parts, tile in ((4, 1 << 15), (8, 1 << 15), (8, 3)):
+        stars = {(r.u, r.v) for r in simhash.fingerprint_links(df, parts=parts, tile=tile, stars=True).collect()}
+        assert classes(sorted(fp.view(np.int64).tolist()), lambda a, b: (a, b) in stars) == want
+    assert len(simhash.fingerprint_links(df, stars=True).collect()) < 400
+
+
+def test_sharing():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        p = np.empty(300, simhash._POSTING)
+        p["node"] = np.arange(300)
+        p["hash"], p["size"], p["class"] = rng.integers(0, 8, 300), rng.integers(20, 40, 300), np.where(rng.random(300) < 0.6, -7, p["node"])
+        want = {(a, b) for a in range(300) for b in range(a + 1, 300) if p["hash"][a] == p["hash"][b] and p["class"][a] != p["class"][b] and min(p["size"][a], p["size"][b]) >= 0.8 * max(p["size"][a], p["size"][b]) - 1e-9}
+        got = [tuple(x) for f in simhash.sharing(simhash.several(p), 0.8, most=500) for x in f.T.tolist()]
+        assert set(got) == want
+        assert {tuple(x) for x in simhash.neighbouring(p, 0.8).T.tolist()} <= want
+
+
+def test_group_of_near_copies_gives_few_pairs(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(vocab) for _ in range(300)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        words[rng.randrange(300)] = f"w{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(rng.choice(vocab) for _ in range(200))) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_deduplicated(df).collect()} == {0, *range(1000, 1050)}
+    nodes = spark.createDataFrame([(k, 100, k, np.arange(20, dtype=np.uint64).tobytes()) for k in range(300)], "node long, size long, class long, prefix binary")
+    assert simhash.prefix_links(nodes, 0.8, chains=True).count() == 299
+    assert simhash.prefix_links(nodes.selectExpr("node", "size", "0L AS class", "prefix"), 0.8).count() == 0
+
+
 def test_similar(docs, rows):
     sets = {}
     for i, t in rows:
