@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer rewrites words as classes: insult, threat, target, negation, report, stop or other. Four small
-transducers read the classes and multiply their weights by composition: an insult counts by its lexicon weight and a
-threat only with a target near; either counts less after a negation, less in reported speech and more with a target in
-the clause. The composed machine runs over documents that hold an insult or a threat; the document's score is a
-logistic function of the weights of its matched clauses.
+A lexicon rewrites a text as classes: words as insult, threat, target, negation, report or other, ends of clauses as
+stop, quotation marks as quote. Five transducers read the classes and weigh the insults and threats among them: one
+raises an insult with a target before it, one halves a threat without; one, which reads from the end, raises either
+with a target close behind; one lowers what stands after a negation; one lowers what is reported, after a verb of saying
+or inside quotation marks. Those that read forwards are composed into one machine, whose factors are the products of
+theirs, and no machine remembers words beyond the end of a clause. It runs over documents that hold an insult or a
+threat; a document's score is a logistic function of the weights of its matched clauses.
 
 Insult stems and their weights are learned from labelled rows: a word beginning that keeps company with the label far
 beyond chance (a likelihood ratio that stands up to as many trials as there are beginnings) enters the lexicon. The sample
-of labelled rows is bounded by SAMPLE; it is taken by a hash of doc_id and is the same whenever the rows are.
+of labelled rows is bounded by SAMPLE rows and SAMPLE_BYTES of text; it is taken by a hash of doc_id and is the same
+whenever the rows are.
 
 Defined results: null or empty text matches nothing and gets the score of no clause; a null doc_id is not held out and
 its row is scored; labels that name a document twice count once, as toxic if either is; without usable labels the
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,14 @@ from pyspark.sql import functions as F
 from llm.common import _BYTE_POWERS, Block, blocks, byte_values, crc32_of_id, documents, mix, prefix_sums, slices
 from llm.fingerprints import shingles
 
-#: Labelled rows that a fit reads at most.
-SAMPLE = 8_000
+#: Labelled rows that a fit reads at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
 LENGTHS = range(3, 13)
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, QUOTE = range(8)
+CLASSES = 8
 WORDS = {
-    THREAT: "kill murder destroy hurt beat stab shoot tuer frapper écraser töten umbringen schlagen matar golpear destruir",
-    TARGET: "you your youre u tu vous ton votre toi du dich dir ihr euch sie usted tú ti vosotros te",
+    THREAT: "kill kills killing murder murders murdering destroy destroys destroying hurt hurts hurting beat beats beating stab stabs stabbing shoot shoots shooting tuer tue tuerai frapper frappe frapperai écraser écrase écraserai töten töte tötet umbringen umbringe schlagen schlage schlägt matar mato mataré golpear golpeo golpearé destruir destruyo destruiré",
+    TARGET: "you your yours yourself youre u tu vous ton votre toi du dich dir ihr euch sie usted tú ti vosotros te",
     NEGATION: "not no never nobody isnt arent wasnt dont doesnt neither nor pas jamais aucun nicht nie kein keine nunca tampoco ningún",
     REPORT: "said says say told wrote quoted quote claims claimed called dit disait écrit sagte sagt schrieb dijo dice escribió",
 }
@@ -55,34 +59,84 @@ class Transducer:
 
     step: np.ndarray
     factor: np.ndarray
-    gate: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def compose(self, other: Transducer) -> Transducer:
-        """The machine that runs both; its weights are the products."""
+        """The machine that runs both; its weights are the products. States that can't be reached are left out."""
         n = len(other.step)
-        step = (self.step[:, None, :] * n + other.step[None, :, :]).reshape(-1, 7)
-        factor = (self.factor[:, None, :] * other.factor[None, :, :]).reshape(-1, 7)
-        return Transducer(step, factor)
-
-
-def countdown(trigger: int, reach: int, on: dict[int, float], off: dict[int, float]) -> Transducer:
-    """Remembers for reach classes that trigger was read: within them weights follow on, else off. STOP forgets."""
-    step = np.zeros((reach + 1, 7), np.int64)
-    factor = np.ones((reach + 1, 7))
+        step = (self.step[:, None, :] * n + other.step[None, :, :]).reshape(-1, CLASSES)
+        factor = (self.factor[:, None, :] * other.factor[None, :, :]).reshape(-1, CLASSES)
+        reached, todo = {0: 0}, [0]
+        for state in todo:
+            for to in step[state].tolist():
+                if to not in reached:
+                    reached[to] = len(reached)
+                    todo.append(to)
+        number = np.zeros(len(step), np.int64)
+        number[todo] = np.arange(len(todo))
+        return Transducer(number[step[todo]], factor[todo])
+
+
+def countdown(trigger: int, reach: int, on: dict[int, float], off: dict[int, float] | None = None) -> Transducer:
+    """Remembers for reach words that trigger was read: within them the factors on hold, else off. STOP forgets; a quotation mark isn't a word."""
+    step = np.zeros((reach + 1, CLASSES), np.int64)
+    factor = np.ones((reach + 1, CLASSES))
     for s in range(reach + 1):
         step[s] = max(0, s - 1)
-        step[s, trigger], step[s, STOP] = reach, 0
-        for symbol, f in (on if s else off).items():
+        step[s, trigger], step[s, STOP], step[s, QUOTE] = reach, 0, s
+        for symbol, f in (on if s else off or {}).items():
             factor[s, symbol] = f
     return Transducer(step, factor)
 
 
-def grammar() -> Transducer:
-    insult_or_threat = countdown(TARGET, 4, {INSULT: 1.5, THREAT: 1.0}, {INSULT: 1.0, THREAT: 0.5})
-    negated = countdown(NEGATION, 3, {INSULT: 0.2, THREAT: 0.2}, {})
-    reported = countdown(REPORT, 6, {INSULT: 0.4, THREAT: 0.4}, {})
-    threat_of = Transducer(np.zeros((1, 7), np.int64), np.ones((1, 7)))
-    return insult_or_threat.compose(negated).compose(reported).compose(threat_of)
+def insults() -> Transducer:
+    return countdown(TARGET, 4, {INSULT: 1.5})
+
+
+def threats() -> Transducer:
+    return countdown(TARGET, 4, {}, {THREAT: 0.5})
+
+
+def negations() -> Transducer:
+    return countdown(NEGATION, 3, {INSULT: 0.2, THREAT: 0.2})
+
+
+def reports() -> Transducer:
+    """After a verb of saying, and inside quotation marks: every second one ends what the one before it began, whatever clauses are between."""
+    step = np.zeros((2, CLASSES), np.int64)
+    step[1] = 1
+    step[:, QUOTE] = 1, 0
+    factor = np.ones((2, CLASSES))
+    factor[1, [INSULT, THREAT]] = 0.4
+    return countdown(REPORT, 6, {INSULT: 0.4, THREAT: 0.4}).compose(Transducer(step, factor))
+
+
+def targets() -> Transducer:
+    """Reads from the end: a target within two words behind."""
+    return countdown(TARGET, 2, {INSULT: 1.25, THREAT: 1.25})
+
+
+class Grammar:
+    """The composed machine that reads forwards, and the one that reads backwards."""
+
+    def __init__(self, forward: Transducer, backward: Transducer):
+        self.forward, self.backward = forward, backward
+        self._rows = [(m.step.tolist(), m.factor.tolist()) for m in (forward, backward)]
+
+    def weigh(self, symbols: list[int]) -> list[float]:
+        """The factor of each insult and threat of a document's classes, in order."""
+        found: list[list[float]] = []
+        for (step, factor), read in zip(self._rows, (symbols, symbols[::-1])):
+            state, out = 0, []
+            for s in read:
+                if s == INSULT or s == THREAT:
+                    out.append(factor[state][s])
+                state = step[state][s]
+            found.append(out)
+        return [a * b for a, b in zip(found[0], found[1][::-1])]
+
+
+def grammar() -> Grammar:
+    return Grammar(insults().compose(threats()).compose(negations()).compose(reports()), targets())
 
 
 class Words:
@@ -147,40 +201,30 @@ class Model:
             weight[rows] = np.maximum(weight[rows], weights[place[hit]])
         return symbol, weight
 
-    def clauses(self, block: Block, machine: Transducer) -> np.ndarray:
+    def clauses(self, block: Block, machine: Grammar) -> np.ndarray:
         """The summed weight of each document's matched clauses."""
         total = np.zeros(len(block))
         words = Words(block)
         symbol, weight = self.classes(words)
-        hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
-        if not len(hits):
+        hit = (symbol == INSULT) | (symbol == THREAT)
+        if not hit.any():
             return total
-        stops = np.concatenate([[0], np.cumsum(_END[block.data])])
-        quotes = np.flatnonzero(block.data == _QUOTE)
-        before = np.searchsorted(words.doc, np.arange(len(block) + 1))
-        longest = 6
-        for h in hits.tolist():
-            # the clause up to the match: no machine remembers more than six words
-            state = 0
-            d = words.doc[h]
-            k = max(int(before[d]), h - longest)
-            for w in range(k, h):
-                if stops[words.starts[w]] != stops[words.starts[h]]:
-                    continue
-                state = machine.step[state, symbol[w]]
-            opened = np.searchsorted(quotes, words.starts[h]) - np.searchsorted(quotes, block.offsets[d])
-            ahead = self._target_after(words, symbol, stops, h, int(before[d + 1]))
-            factor = machine.factor[state, symbol[h]] * (1.25 if ahead else 1.0) * (0.4 if opened % 2 else 1.0)
-            total[d] += weight[h] * factor
+        wanted = np.zeros(len(block), np.bool_)
+        wanted[words.doc[hit]] = True
+        marks = np.flatnonzero(_END[block.data] | (block.data == _QUOTE))
+        doc = np.searchsorted(block.offsets, marks, "right") - 1
+        marks, doc = marks[wanted[doc]], doc[wanted[doc]]
+        at = np.flatnonzero(wanted[words.doc])
+        order = np.argsort(np.concatenate([words.starts[at], marks]), kind="stable")
+        read = np.concatenate([symbol[at], np.where(block.data[marks] == _QUOTE, QUOTE, STOP).astype(np.int8)])[order]
+        owner = np.concatenate([words.doc[at], doc])[order]
+        cuts = np.searchsorted(owner, np.flatnonzero(wanted))
+        factors: list[float] = []
+        for lo, hi in zip(cuts.tolist(), [*cuts.tolist()[1:], len(read)]):
+            factors += machine.weigh(read[lo:hi].tolist())
+        np.add.at(total, words.doc[hit], weight[hit] * np.array(factors))
         return total
 
-    @staticmethod
-    def _target_after(words: Words, symbol: np.ndarray, stops: np.ndarray, h: int, end: int) -> bool:
-        for w in range(h + 1, min(h + 3, end)):
-            if symbol[w] == TARGET and stops[words.starts[w]] == stops[words.starts[h]]:
-                return True
-        return False
-
     def score(self, total: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * np.log1p(total) + self.bias)))
 
@@ -308,14 +352,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[float
     return max(0.0, float(w[0])), float(w[1])
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of labelled rows whose crc32(doc_id as text) mod 5 is not 0: of at most sample of them, by a hash of doc_id."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of labelled rows whose crc32(doc_id as text) mod 5 is not 0: of at most sample of them, by a hash of doc_id, as far as their texts fit into sample_bytes."""
     spark = docs.sparkSession
     wanted = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     wanted = wanted.where(crc32_of_id("doc_id") % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ids = spark.createDataFrame(wanted.toPandas(), "doc_id long, toxic long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic").toArrow()
-    return fit(rows.column("text").fill_null("").to_pylist(), np.asarray(rows.column("toxic")) > 0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ids = wanted.toPandas().astype("int64")
+    ids["place"] = range(len(ids))
+    named = spark.createDataFrame(ids, "doc_id long, toxic long, place long")
+    sizes = texts.join(F.broadcast(named), "doc_id").groupBy("place").agg(F.sum(F.octet_length("text")).alias("size")).toPandas().sort_values("place")
+    most = sizes["place"][sizes["size"].cumsum() <= sample_bytes].max()
+    rows = texts.join(F.broadcast(named.where(F.col("place") <= (-1 if most != most else int(most)))), "doc_id").select("text", "toxic").toArrow()
+    return fit(rows.column("text").to_pylist(), np.asarray(rows.column("toxic")) > 0)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

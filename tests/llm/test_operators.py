@@ -464,6 +464,64 @@ def test_grammar():
     assert weigh("i will kill you") > weigh("kill time") and weigh("a fine day") == 0
 
 
+def test_grammar_by_hand():
+    """The composed machine against rules written out word by word."""
+    t = toxicity
+    rng = random.Random(14)
+    machine = t.grammar()
+    weights = [0.5, 0.1, 0.1, 0.15, 0.1, 0.08, 0.1, 0.1]
+    seen = set()
+    for _ in range(3000):
+        symbols = rng.choices(range(t.CLASSES), weights, k=rng.randint(0, 25))
+
+        def within(k, trigger, reach, step):
+            at, words = k + step, 0
+            while 0 <= at < len(symbols) and symbols[at] != t.STOP and words < reach:
+                if symbols[at] == trigger:
+                    return True
+                words += symbols[at] != t.QUOTE
+                at += step
+            return False
+
+        want = []
+        for k, s in enumerate(symbols):
+            if s in (t.INSULT, t.THREAT):
+                f = 1.5 if s == t.INSULT and within(k, t.TARGET, 4, -1) else 0.5 if s == t.THREAT and not within(k, t.TARGET, 4, -1) else 1.0
+                f *= 0.2 if within(k, t.NEGATION, 3, -1) else 1
+                f *= 0.4 if within(k, t.REPORT, 6, -1) else 1
+                f *= 0.4 if symbols[:k].count(t.QUOTE) % 2 else 1
+                f *= 1.25 if within(k, t.TARGET, 2, 1) else 1
+                want.append(f)
+                seen.add(round(f, 6))
+        assert np.allclose(machine.weigh(symbols), want)
+    assert len(seen) > 20
+    single = [t.insults(), t.threats(), t.negations(), t.reports(), t.targets()]
+    assert all(len(m.step) > 1 and (m.factor != 1).any() for m in single) and len({m.step.tobytes() + m.factor.tobytes() for m in single}) == 5
+
+
+def test_scores_whole_documents(spark):
+    """Scores against a scorer that reads one word after another, with nulls, repeats, an empty table and clashing names."""
+    model = toxicity.fit([], np.zeros(0))
+    texts = ["you idiot!", 'she said "you idiot" and left', "I will KILL you; not you, idiot", None, "", "no idiots here. moron", "x " * 20000 + "you stupid loser", "you idiot!"]
+    word, ends = re.compile(r"[A-Za-z\u0080-\U0010ffff]+|[\n!.?;]|\""), set("\n!.?;")
+    classes_of = {w: c for c, ws in toxicity.WORDS.items() for w in ws.split()} | dict.fromkeys(toxicity.INSULTS.split(), toxicity.INSULT)
+    want = []
+    for t in texts:
+        read = [toxicity.STOP if w in ends else toxicity.QUOTE if w == '"' else classes_of.get(w, 0) for w in word.findall((t or "").lower())]
+        want.append(sum(toxicity.grammar().weigh(read)))
+    schema = "doc_id long, text string, score double, clauses long, toxic long, held_out string"
+    df = spark.createDataFrame([(None if k == 1 else k // 2, t, 0.5, 1, 1, "") for k, t in enumerate(texts)], schema)
+    found = toxicity.scores(df.coalesce(1), model).collect()
+    assert np.allclose([r.clauses for r in found], want) and want[0] > 0 and want[3] == want[4] == 0
+    assert [r.held_out for r in found] == [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in found]
+    kept = toxicity.without_toxic(df.coalesce(1), model)
+    assert kept.columns == df.columns and [r.text for r in kept.collect()] == [t for t, r in zip(texts, found) if not r.predicted]
+    assert toxicity.scores(df.limit(0), model).count() == 0 and toxicity.without_toxic(df.limit(0), model).count() == 0
+    labels = spark.createDataFrame([(k // 2, int(k % 3 == 0)) for k in range(8)] + [(None, 1), (3, None)], "doc_id long, toxic long")
+    for some in (df, df.limit(0)):
+        toxicity.trained(some, labels), toxicity.trained(some, labels.limit(0)), toxicity.trained(some, labels, sample_bytes=15)
+
+
 def test_registered():
     names = list(queries.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
