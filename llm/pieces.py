@@ -1,12 +1,18 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-White space becomes the marker, with one marker before the text. The best segmentation has the greatest sum of the
-pieces' log scores; characters without a piece fall back to their bytes. No piece holds a marker after another
-character, so the text is cut before such markers and each distinct stretch is segmented once a worker.
+A space (U+0020) becomes the marker, with one marker before the text; other white space stays itself and is a piece or
+bytes like any character. The best segmentation has the greatest sum of the pieces' log scores; characters without a
+piece fall back to their bytes. No piece holds a marker after another character, so the text is cut before such markers
+and each distinct stretch is segmented once a worker.
+
+The scores of a unigram model file are log probabilities and are used as they are. Those of a file of merges are only
+ranks; they become log probabilities by Zipf's law, log p = -log(rank + 2.7) less the logarithm of the sum over all
+pieces, so that they add up to one. Nothing is counted or trained for this. A character that falls back costs
+UNKNOWN_PENALTY more than the least likely piece.
 
 Defined results: null or empty text has no pieces and decodes to nothing; ties go to the longer last piece; the marker
 itself in a text decodes as a space; null doc_ids and repeated rows are encoded like any other; texts of any length are
-whole; an empty table gives an empty result; further columns are ignored.
+whole; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from pyspark.sql import functions as F
 from llm.common import documents
 
 MARK = "▁"
-NORMAL, BYTE = 1, 6
-UNKNOWN_PENALTY = 10.0
+NORMAL, BYTE, UNIGRAM = 1, 6, 1
+UNKNOWN_PENALTY, ZIPF = 10.0, 2.7
 CACHE_ROWS, CACHE_CHARS = 400_000, 48
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -56,15 +62,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def read_model(file: str) -> list[tuple[str, float, int]]:
-    """Piece, score and type of each id of a SentencePiece model file."""
+    """Piece, log score and type of each id of a SentencePiece model file."""
     with open(file, "rb") as model:
         data = model.read()
-    out = []
+    out, kind = [], UNIGRAM
     for number, value in _fields(data):
         if number == 1:
             one = dict(_fields(value))
             out.append((one[1].decode(), float(np.frombuffer(one.get(2, bytes(4)), "<f4")[0]), one.get(3, NORMAL)))
-    return out
+        elif number == 2:
+            kind = dict(_fields(value)).get(3, UNIGRAM)
+    return out if kind == UNIGRAM else ranked(out)
+
+
+def ranked(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Pieces whose scores are ranks (the best has the highest) with log probabilities instead."""
+    normal = sorted((i for i, (_, _, kind) in enumerate(pieces) if kind == NORMAL), key=lambda i: -pieces[i][1])
+    score = -np.log(np.arange(1, len(normal) + 1) + ZIPF)
+    score -= np.log(np.exp(score).sum())
+    of = dict(zip(normal, score.tolist()))
+    return [(p, of.get(i, s), kind) for i, (p, s, kind) in enumerate(pieces)]
 
 
 class DoubleArray:

@@ -379,13 +379,34 @@ def test_pieces(docs, rows):
     import sentencepiece
 
     c = pieces.codec(pieces.piece_file())
+    normal = [x for _, x, kind in c.pieces if kind == pieces.NORMAL]
+    assert math.isclose(sum(map(math.exp, normal)), 1) and min(normal) > -25 and c.unknown == min(normal) - 10
     proto = sentencepiece.SentencePieceProcessor(model_file=pieces.piece_file()).serialized_model_proto()
     at = proto.rfind(b"tok_v0\x18\x02")
-    unigram = sentencepiece.SentencePieceProcessor(model_proto=proto[:at] + b"tok_v0\x18\x01" + proto[at + 8 :])
-    for text in ["the ring of the", "which thing", "é and über", "a b c"]:
-        best = unigram.nbest_encode(text, nbest_size=2)[0]
-        assert math.isclose(c.score[c.encode(text)].sum(), c.score[best].sum())
-    for t in [t or "" for _, t in rows] + ["  lead", "tail  ", "\t\n", "漢\U0001f600"]:
+    proto = proto[:at] + b"tok_v0\x18\x01" + proto[at + 8 :]  # a unigram model, with the scores that stand for the ranks
+    scored, at, i = b"", 0, 0
+    while at < len(proto):
+        key, to = pieces._varint(proto, at)
+        size, to = pieces._varint(proto, to)
+        body = proto[to : to + size]
+        if key == 10:
+            piece, s, kind = c.pieces[i]
+            raw = piece.encode()
+            body = bytes([10, len(raw)]) + raw + b"\x15" + np.float32(s).tobytes() + bytes([24, kind])
+            i += 1
+        n, head = len(body), b""
+        while n > 127:
+            head, n = head + bytes([n & 127 | 128]), n >> 7
+        scored += bytes([key]) + head + bytes([n]) + body
+        at = to + size
+    unigram = sentencepiece.SentencePieceProcessor(model_proto=scored)
+    for text in ["the ring of the", "which thing", "é and über", "a b c", "thering singingly unbelievable", *(t for _, t in rows[:15])]:
+        if text and "  " not in text and "\n" not in text:
+            best = unigram.nbest_encode(text, nbest_size=2)[0]
+            assert math.isclose(c.score[c.encode(text)].sum(), c.score[best].sum(), rel_tol=1e-6)
+    one = c.encode("漢\U0001f9ff\u2007")
+    assert c.unknown * 3 - 30 < c.score[one].sum() < 0
+    for t in [t or "" for _, t in rows] + ["  lead", "tail  ", "\t\n", "a\tb\r\nc\u00a0d\u3000e", "漢\U0001f600"]:
         assert c.decode(c.encode(t)) == t
     back = pieces.decoded(pieces.encoded(docs)).collect()
     assert sorted((r.doc_id, r.text) for r in back) == sorted((i, t or "") for i, t in rows)
