@@ -5,8 +5,10 @@ hash. An empty bin borrows from the first non-empty bin in an order of its own,
 BITS low-order bits are stored; likeness takes off what such short codes agree by chance.
 
 Defined results: null text counts as empty; a text without words has the empty fingerprint, like itself (1) and nothing
-else (0); fewer than five words are one shingle; the order of documents is by descending doc_id, nulls last, ties by
-text; a single document is its own next; an empty table gives an empty result; further columns are ignored.
+else (0); fewer than five words are one shingle; the order of documents is by descending doc_id, nulls last, ties by a
+hash of the text, then by text; a single document is its own next; an empty table gives an empty result; further
+columns, whatever their names, are ignored. A doc_id that many rows repeat, and rows without one, are spread over as
+many parts as their share of the table asks for.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import Block, blocks, documents, mix, partitions, window_hashes
@@ -104,41 +106,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """part, guest, doc_id, text: parts are ranges of doc_id, sorted by descending doc_id, each followed by its guest, the document that comes next in the whole order.
 
-    Only the bounds of the parts and their first doc_ids come to the driver: two numbers a partition.
+    Only the bounds of the parts and the first rows' keys of each come to the driver: a few numbers a partition.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    part = F.lit(len(set(bounds)))
-    if bounds:
-        # the first part has the largest doc_ids; nulls come last
-        part = F.when(F.col("doc_id").isNull(), part).otherwise(F.lit(len(set(bounds))) - _places(sorted(set(bounds))))
-    rows = rows.withColumn("part", part.cast("int"))
-    # by descending doc_id the first of a part is its largest; a part of nulls alone has null there
-    heads = {r.part: r.head for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    seen = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n), F.count("*"), F.count("doc_id")).first()
+    bounds = sorted(~x for x in seen[0] or [])  # descending doc_ids are ascending complements
+    rows = placed(rows, bounds, max(1, round(n * (1 - seen[2] / max(1, seen[1])))))
+    # the first row of each part: the least complement (null last), of equal ones the least tie
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("place"), "tie")
+    heads = {r.part: (None if r.head.none else ~r.head.place, r.head.tie) for r in rows.groupBy("part").agg(F.min(first).alias("head")).collect()}
     order = sorted(heads)
-    guests = [(order[k - 1], heads[p]) for k, p in enumerate(order)]
+    guests = [(order[k - 1], *heads[p]) for k, p in enumerate(order)]
+    own = rows.select("part", F.lit(0).alias("guest"), "doc_id", "tie", "text")
     if not guests:
-        return rows.select("part", F.lit(0).alias("guest"), "doc_id", "text")
-    invited = F.broadcast(spark.createDataFrame(guests, "part int, head long"))
-    again = rows.select("doc_id", "text").join(invited, F.col("doc_id").eqNullSafe(F.col("head"))).select("part", F.lit(1).alias("guest"), "doc_id", "text")
-    both = rows.select("part", F.lit(0).alias("guest"), "doc_id", "text").unionByName(again)
-    return both.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+        return own.select("part", "guest", "doc_id", "text")
+    invited = F.broadcast(spark.createDataFrame(guests, "to int, head long, head_tie long"))
+    # rows of one doc_id and tie are told apart by text; of those the first is the guest
+    again = rows.join(invited, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")))
+    again = again.groupBy("to").agg(F.min("text").alias("text"), F.first("head").alias("head"), F.first("tie").alias("tie"))
+    both = own.unionByName(again.select(F.col("to").alias("part"), F.lit(1).alias("guest"), F.col("head").alias("doc_id"), "tie", "text"))
+    ordered = both.repartitionById(max(order) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    return ordered.select("part", "guest", "doc_id", "text")
 
 
-def _places(bounds: list[int]):
-    """How many bounds are below doc_id: a search in a literal array, by halving."""
-    expr = F.lit(0)
-    column = F.col("doc_id")
+def placed(rows: DataFrame, bounds: list[int], nulls: int) -> DataFrame:
+    """rows (doc_id, tie) with their part: how many bounds are below the complement of doc_id, by halving in a literal array, one projection a step.
 
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column > bounds[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+    A bound that comes several times names as many further parts, over which rows of that doc_id are spread by ranges of
+    tie; rows without doc_id are spread over the last parts, nulls of them.
+    """
+    def spread(parts) -> Column:
+        """Ranges of tie: 0 to parts - 1, ascending."""
+        return F.least(F.floor((F.col("tie").cast("double") + 2.0**63) / 2.0**64 * parts), parts - 1).cast("int")
 
-    return search(0, len(bounds)) if bounds else expr
+    rows = rows.withColumn("place", F.bitwise_not("doc_id")).withColumn("low", F.lit(0))
+    if bounds:
+        array = F.array(*map(F.lit, bounds))
+        for step in reversed([1 << k for k in range(len(bounds).bit_length())]):
+            rows = rows.withColumn("low", F.col("low") + F.when(F.coalesce(F.get(array, F.col("low") + (step - 1)) < F.col("place"), F.lit(False)), step).otherwise(0))
+        rows = rows.withColumn("high", F.col("low"))
+        for step in reversed([1 << k for k in range(len(bounds).bit_length())]):
+            rows = rows.withColumn("high", F.col("high") + F.when(F.coalesce(F.get(array, F.col("high") + (step - 1)) <= F.col("place"), F.lit(False)), step).otherwise(0))
+        known = F.when(F.col("high") - F.col("low") > 1, F.col("low") + spread(F.col("high") - F.col("low") + 1)).otherwise(F.col("low"))
+    else:
+        known = F.col("low")
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + spread(F.lit(nulls))).otherwise(known)
+    return rows.select(part.cast("int").alias("part"), "doc_id", "text", "tie")
 
 
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -366,6 +366,57 @@ def test_fingerprints(docs, rows):
     assert all(len(x) == 1 for x in by.values())
 
 
+def test_fingerprint_likeness_is_jaccard(docs, rows):
+    """near_edited and near_next against sets of shingles, within the error of 512 bins."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1]))
+    want = collections.defaultdict(list)
+
+    def jaccard(a, b):
+        a, b = simhash_of(a, 5)[1], simhash_of(b, 5)[1]
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        m = len(t) // 3
+        want[i].append((jaccard(t, t[: len(t) - m] + after[:m]), jaccard(t, after)))
+    for r in fingerprints.edited_fingerprints(docs).collect():
+        assert any(abs(r.near_edited - e) < 0.13 and abs(r.near_next - n) < 0.13 for e, n in want[r.doc_id])
+        assert r.fingerprint == "" or len(r.fingerprint) == 512 * 4 // 4
+
+
+def test_densification_by_hand():
+    """Bins of one permutation, and what empty ones borrow, against loops."""
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 40):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        bins = {}
+        for h in hashes.tolist():
+            bins[h >> 58] = min(h, bins.get(h >> 58, h))
+        order = fingerprints.borrowing_order(64)
+        want = [bins[b] if b in bins else bins[min(bins, key=lambda j: order[b][j])] for b in range(64)]
+        assert fingerprints.bin_minima(hashes, np.zeros(n, np.int64), 1, 64)[0].tolist() == want
+
+
+@pytest.mark.parametrize("share", ["null", "one"])
+def test_order_with_a_hot_id(spark, share):
+    """A third of all rows have no doc_id, or one and the same: they are spread over parts, and the order holds."""
+    hot = None if share == "null" else 50
+    made = [(k, f"text {k}") for k in range(200)] + [(hot, f"other {k}") for k in range(100)] + [(-(1 << 63), "first"), ((1 << 63) - 1, "last")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in made], "doc_id long, text string, part int, tie long, guest int, place long").repartition(5)
+    tie = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        parts = fingerprints.in_order(df).where("guest = 0").selectExpr("part", "doc_id <=> " + ("NULL" if hot is None else "50L") + " AS hot").groupBy("part").agg({"*": "count", "hot": "max"}).collect()
+        got = fingerprints.edited_fingerprints(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(parts) >= 10 and max(r["count(1)"] for r in parts) < 60 and sum(r["max(hot)"] for r in parts) >= 3
+    order = sorted(made, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = {t: t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3] for k, (_, t) in enumerate(order)}
+    assert len(got) == len(made) and sorted(r.edited_sha256 for r in got) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in want.values())
+
+
 def test_likeness():
     rng = np.random.default_rng(0)
     for share in (0.0, 0.3, 0.8, 1.0):
