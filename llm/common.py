@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a table written to the shared folder and read again: its lineage ends there, and no executor holds it alone."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -209,6 +210,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     release()
 
 
+SHARES = 16
+
+
+def shares(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A table of counts in SHARES compressed parts, for adding up over tasks."""
+    return list(range(SHARES)), [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in np.split(total, SHARES)]
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for share, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[share] = total.get(share, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["share", "counts"])
+
+
+def added_up(counted: DataFrame, size: int) -> np.ndarray:
+    """Rows of share and counts -> the sums, a table of that fixed size: all that comes to the driver."""
+    out = np.zeros((SHARES, size // SHARES), np.int64)
+    for r in counted.select("share", "counts").repartition(min(SHARES, partitions(counted.sparkSession)), "share").mapInArrow(_summed, "share long, counts binary").collect():
+        out[r.share] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
 def release() -> None:
     """Gives memory that this worker has freed back to the system, where the C library can."""
     gc.collect()

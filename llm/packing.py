@@ -1,14 +1,17 @@
 """Sequence packing by lexical retrieval.
 
-Each scan task cuts its rows into shards of a bounded number of tokens and builds an inverted index with BM25 weights
-over each. A seed document opens a window; the index names its most similar unused documents, best first, which fill
-the window up to its last token. What is left of a document that was cut seeds the next window. Nothing is shuffled:
-a shard is a stretch of the scan, so its size (and a task's memory) does not depend on the size or skew of the table.
-A shard's last window is split at powers of two, so that no sequence needs padding.
+Documents are tokenised once, into a table in the shared folder, while the documents that hold each token are counted
+over the whole table. They are then sorted by their two most telling tokens, so that texts with a rare token in common
+come together, and cut into shards of a bounded number of tokens. A shard has an inverted index with BM25 weights, from
+the counts of the whole table. A seed document opens a window; the index names the shard's most similar unused
+documents, best first, which fill the window up to its last token. What is left of a document that was cut seeds the
+next window. The sort is by ranges of both tokens and the row's own number, so a token that a third of all documents
+share is spread over many tasks, and a shard's size (and a task's memory) does not depend on the size or skew of the
+table. A shard's last window is split at powers of two, so that no sequence needs padding.
 
 Defined results: null text counts as empty (its single token is the end mark); null doc_ids and repeated rows are packed
 like any other row; texts of any length are cut over as many windows as they need; an empty table gives no pieces;
-further columns are ignored.
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, release, slices
+from llm.common import SHARES, added_up, documents, partitions, release, shares, slices, written
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 20
+IDS = 1 << 16
 K1, B = 1.2, 0.75
 CACHE_ROWS, CACHE_CHARS = 400_000, 48
 _WHITE_RUN, _GAP = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
@@ -83,18 +87,43 @@ def encoder(file: str) -> Encoder:
     return _encoders[file]
 
 
+class Corpus:
+    """Documents and tokens of a whole table, and the documents that hold each token: of fixed size."""
+
+    def __init__(self, docs: int, tokens: int, df: np.ndarray):
+        self.mean = tokens / max(1, docs)
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def terms_of(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, token and frequency of each distinct pair of them, in order."""
+    key, tf = np.unique(np.repeat(np.arange(len(lengths), dtype=np.int64) << 16, lengths) | ids, return_counts=True)
+    return (key >> 16).astype(np.int32), (key & 0xFFFF).astype(np.int32), tf
+
+
+def telling(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, docs: int) -> np.ndarray:
+    """The two tokens of each document (a row each, -1 for none) that tell most about it: often in it, and late in the vocabulary, whose order is that of merges and so from common to rare."""
+    weight = np.log(term + 2.0) * tf / (tf + K1)
+    order = np.lexsort((term, -weight, doc))
+    before = np.searchsorted(doc, np.arange(docs + 1))
+    out = np.full((docs, 2), -1, np.int64)
+    for k in range(2):
+        some = np.flatnonzero(before[1:] - before[:-1] > k)
+        out[some, k] = term[order[before[some] + k]]
+    return out
+
+
 class Bm25Index:
     """Postings of a shard: for each term its documents and their BM25 weights."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, corpus: Corpus | None = None):
         n = len(lengths)
-        key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64) << 16, lengths) | ids, return_counts=True)
-        self.doc, term = (key >> 16).astype(np.int32), (key & 0xFFFF).astype(np.int32)
+        self.doc, term, tf = terms_of(ids, lengths)
         self.before = np.searchsorted(self.doc, np.arange(n + 1))
-        df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
-        scale = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
-        self.weight = (idf * tf * (K1 + 1) / (tf + scale[self.doc])).astype(np.float32)
+        df = np.bincount(term, minlength=IDS)
+        corpus = corpus or Corpus(n, int(lengths.sum()), df)
+        scale = K1 * (1 - B + B * lengths / max(1.0, corpus.mean))
+        self.weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + scale[self.doc])).astype(np.float32)
         self.term = term
         order = np.argsort(term, kind="stable")
         self.of_doc, self.of_weight = self.doc[order], self.weight[order]
@@ -117,9 +146,9 @@ class Bm25Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(ids: np.ndarray, lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: np.ndarray, lengths: np.ndarray, window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces of a shard: document, start, length, sequence, offset. Every token is in one piece, every sequence but those of the last window is full."""
-    index = Bm25Index(ids, lengths)
+    index = Bm25Index(ids, lengths, corpus)
     n = len(lengths)
     used = np.zeros(n, np.bool_)
     size = lengths.tolist()
@@ -180,11 +209,43 @@ def pack_shard(ids: np.ndarray, lengths: np.ndarray, window: int) -> list[tuple[
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("ids", pa.binary()), ("share", pa.int64()), ("counts", pa.binary())])
+_TOKENS_SQL = "doc_id long, row long, first long, second long, ids binary, share long, counts binary"
+
+
+def _tokenised(file: str):
+    """Documents -> their ids and most telling tokens; then the task's counts, in rows of share and counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, end = encoder(file), np.array([END], "<u2").tobytes()
+        row = TaskContext.get().partitionId() << 36
+        total = np.zeros(IDS + SHARES, np.int64)  # behind the tokens' documents: documents and tokens
+        for batch in slices(batches):
+            texts = [encode(t or "") + end for t in batch.column(1).to_pylist()]
+            lengths = np.fromiter((len(x) // 2 for x in texts), np.int64, len(texts))
+            doc, term, tf = terms_of(np.frombuffer(b"".join(texts), "<u2").astype(np.int64), lengths)
+            total[:IDS] += np.bincount(term, minlength=IDS)
+            total[IDS : IDS + 2] += len(texts), lengths.sum()
+            key = telling(doc, term, tf, len(texts))
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(texts, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_TOKENS)
+            row += n
+        share, counts = shares(total)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(SHARES, f.type) for f in list(_TOKENS)[:5]], pa.array(share, pa.int64()), pa.array(counts, pa.binary())], schema=_TOKENS)
+        # the next task's stretch has words of its own; an idle worker needs no room for these
+        encode.first.clear()
+        encode.later.clear()
+        release()
+
+    return run
+
+
+def _pack(window: int, shard_tokens: int, corpus: Corpus, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         first = TaskContext.get().partitionId() << 36
         names: list = []
         texts: list[bytes] = []
@@ -194,7 +255,7 @@ def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
             nonlocal first
             lengths = np.fromiter((len(x) // 2 for x in texts), np.int64, len(texts))
             ids = np.frombuffer(b"".join(texts), "<u2")
-            found = pack_shard(ids.astype(np.int64), lengths, window)
+            found = pack_shard(ids.astype(np.int64), lengths, window, corpus)
             before = np.cumsum(lengths) - lengths
             wide = ids.astype("<u4")
             columns = list(zip(*found))
@@ -213,8 +274,7 @@ def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * with_ids)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names.append(doc_id)
                 texts.append(ids)
                 tokens += len(ids) // 2
@@ -223,10 +283,6 @@ def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
                     tokens = 0
         if texts:
             yield packed()
-        # the next task's stretch has words of its own; an idle worker needs no room for these
-        encode.first.clear()
-        encode.later.clear()
-        release()
 
     return run
 
@@ -234,7 +290,12 @@ def _pack(file: str, window: int, shard_tokens: int, with_ids: bool):
 def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids where asked for."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_pack(tokenizer or byte_bpe_file(), window, shard_tokens, with_ids), _PIECE + ", ids array<int>" * with_ids)
+    found = written(source.mapInArrow(_tokenised(tokenizer or byte_bpe_file()), _TOKENS_SQL), "packing-tokens", "zstd")
+    total = added_up(found.where("share is not null"), IDS + SHARES)
+    corpus = Corpus(int(total[IDS]), int(total[IDS + 1]), total[:IDS])
+    rows = found.where("share is null").select("doc_id", "ids", "first", "second", "row")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "first", "second", "row").sortWithinPartitions("first", "second", "row").select("doc_id", "ids")
+    return rows.mapInArrow(_pack(window, shard_tokens, corpus, with_ids), _PIECE + ", ids array<int>" * with_ids)
 
 
 def op4_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ of rows equal in both one stays; rows without doc_id stay and link nothing.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement, product, repeat
 
@@ -27,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, Block, blocks, documents, mix, partitions, release, rows_named, slices, written
+from llm.common import SPACES, Block, added_up, blocks, documents, mix, partitions, release, rows_named, shares, slices, written
 from llm.components import connected_components, star
 from llm.fingerprints import codes, likeness, shingles
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 PARTS, TILE, MANY = 4, 1 << 15, 1 << 24
-BUCKETS, SHARES = 1 << 20, 16
+BUCKETS = 1 << 20
 _BUCKET = np.uint64(44)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -244,33 +243,22 @@ def simhash_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 
 def _bucket_counts(width: int):
-    """How many shingles of a task fall into each of BUCKETS buckets of the hash space, in SHARES rows."""
+    """How many shingles of a task fall into each of BUCKETS buckets of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in slices(batches):
             for block in blocks(batch.column(0)):
                 total += np.bincount((shingles(block, width)[0] >> _BUCKET).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHARES), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(SHARES, -1)], pa.binary())], names=["share", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(shares(total), (pa.int64(), pa.binary()))], names=["share", "counts"])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for share, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            total[share] = total.get(share, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["share", "counts"])
-
-
 def bucket_counts(source: DataFrame, width: int) -> np.ndarray:
     """Shingles of the table in each bucket: a table of fixed size."""
     counted = source.select("text").mapInArrow(_bucket_counts(width), "share long, counts binary")
-    out = np.zeros((SHARES, BUCKETS // SHARES), np.int64)
-    for r in counted.repartition(min(SHARES, partitions(source.sparkSession)), "share").mapInArrow(_summed, "share long, counts binary").collect():
-        out[r.share] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(out.ravel(), 0xFFFFFFFF).astype(np.uint32)
+    return np.minimum(added_up(counted, BUCKETS), 0xFFFFFFFF).astype(np.uint32)
 
 
 def prefixes(hashes: np.ndarray, owner: np.ndarray, docs: int, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -161,6 +161,52 @@ def test_packing(docs, rows):
         assert np.frombuffer(packing.encoder(packing.byte_bpe_file())(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_windows_hold_the_best_neighbours():
+    """What fills a seed's window are its best unused neighbours in turn, by BM25 worked out in loops from counts of the whole table."""
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 300, 40) for _ in range(60)]
+    for k in range(0, 60, 6):  # some pairs with much in common, far from each other in the table
+        docs[(k + 31) % 60] = np.concatenate([docs[k][:30], rng.integers(0, 300, 10)])
+    df = np.zeros(packing.IDS, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    df[:50] += 400  # elsewhere in the table
+    corpus = packing.Corpus(1000, 50_000, df)
+    found = packing.pack_shard(np.concatenate(docs), np.full(60, 40), 200, corpus)
+
+    def bm25(seed, d):
+        idf = lambda t: math.log1p((1000 - df[t] + 0.5) / (df[t] + 0.5))
+        tf = collections.Counter(docs[d].tolist())
+        return sum(idf(t) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * 40 / 50)) for t in set(docs[seed].tolist()) if t in tf)
+
+    windows = collections.defaultdict(list)
+    for d, _, _, sequence, offset in found:
+        windows[sequence].append((offset, d))
+    used, checked = set(), 0
+    for sequence in sorted(windows)[:-3]:
+        seed, *others = [d for _, d in sorted(windows[sequence])]
+        used.add(seed)
+        for d in others:
+            best = max((bm25(seed, x) for x in range(60) if x not in used), default=0)
+            assert math.isclose(bm25(seed, d), best, rel_tol=1e-5)
+            used.add(d)
+            checked += 1
+    assert checked > 30
+
+
+def test_lexical_shards(spark):
+    """Texts that share a rare token come into one shard from anywhere in the table, and counts are those of the whole table."""
+    rng = random.Random(15)
+    rare = ["Zimbabwe", "Neuroscience", "Mozilla", "Palestinians", "Quarterback", "Constantinople"]
+    made = [(k, " ".join(rng.choice(["the", "of", "and", "to", "in", "a"]) for _ in range(30)) + f" {rare[k % 6]} {rare[k % 6]}") for k in range(240)]
+    df = spark.createDataFrame([(i, t, 1, 1, 1) for i, t in made], "doc_id long, text string, row long, first long, share long").repartition(6)
+    pieces_of = collections.defaultdict(list)
+    for r in packing.packed(df, window=256, shard_tokens=1500, with_ids=False).collect():
+        pieces_of[r.sequence_id].append((r.offset, r.doc_id))
+    kinds = [len({i % 6 for _, i in p}) for p in pieces_of.values()]
+    assert sum(kinds) / len(kinds) < 1.5
+
+
 def simhash_of(t, width):
     words = WORD.findall(lower(t or ""))
     shingles = [" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
