@@ -21,23 +21,63 @@ def _each(f):
     return run
 
 
-def _step(holder, key):
-    return int(key) if isinstance(holder, list) else key
+def _place(holder, key):
+    """Where key leads in a container: a name in an object, a number (from the end if negative) in an array; None: nowhere."""
+    if isinstance(holder, dict):
+        return key if key in holder else None
+    if isinstance(holder, list):
+        try:
+            at = int(key)
+        except ValueError:
+            return None
+        return at if -len(holder) <= at < len(holder) else None
+    return None
+
+
+def _holder(doc, path):
+    """The container of the path's last step, or None where the path doesn't lead that far."""
+    for key in path[:-1]:
+        at = _place(doc, key)
+        if at is None:
+            return None
+        doc = doc[at]
+    return doc
+
+
+def _value(text):
+    """JSON, or what isn't as a string."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
 
 
 def _set(doc, path, value):
-    at = doc
-    for key in list(path)[:-1]:
-        at = at[_step(at, key)]
-    at[_step(at, path[-1])] = json.loads(value)
+    """A missing last step is added (to an array at the end it lies beyond); where the path ends before, nothing changes. NULL path or value: NULL."""
+    if path is None or value is None:
+        return None
+    path = list(path)
+    holder = _holder(doc, path) if path else None
+    if isinstance(holder, dict):
+        holder[path[-1]] = _value(value)
+    elif isinstance(holder, list):
+        at = _place(holder, path[-1])
+        if at is not None:
+            holder[at] = _value(value)
+        elif path[-1].lstrip("-").isdigit():
+            holder.insert(0 if path[-1].startswith("-") else len(holder), _value(value))
     return dumps(doc)
 
 
 def _delete(doc, path):
-    at = doc
-    for key in list(path)[:-1]:
-        at = at[_step(at, key)]
-    del at[_step(at, path[-1])]
+    """A path that leads nowhere deletes nothing. NULL path: NULL."""
+    if path is None:
+        return None
+    path = list(path)
+    holder = _holder(doc, path) if path else None
+    at = _place(holder, path[-1]) if path else None
+    if at is not None:
+        del holder[at]
     return dumps(doc)
 
 

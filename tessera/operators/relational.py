@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from tessera.operators.changes import fresh
 
-def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order (SELECT DISTINCT ON)."""
+
+def distinct_on(df: DataFrame, keys: list[str], order: list[Column | str | tuple[str, str]]) -> DataFrame:
+    """The first row of each key in the given order (SELECT DISTINCT ON).
+
+    order: columns ascending, NULL last, or pairs of a column and "desc", NULL first: then an aggregate over the order's
+    struct finds it, which combines map-side. Any other Columns with an order of their own take a window.
+    """
+    if all(isinstance(x, (str, tuple)) for x in order):
+        (row,) = fresh(df.columns, "row")
+        column = {c: F.col(c) for c in df.columns}
+        parts = []
+        for x in order:
+            name, down = (x, False) if isinstance(x, str) else (x[0], x[1] == "desc")
+            kind = df.schema[name].dataType
+            if down and not isinstance(kind, NumericType):
+                break
+            parts += [column[name].isNotNull() if down else column[name].isNull(), -column[name] if down else column[name]]
+        else:
+            return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*parts)).alias(row)).select(f"{row}.*")
+        order = [(F.col(x).asc_nulls_last() if isinstance(x, str) else F.col(x[0]).desc_nulls_first()) for x in order]
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 

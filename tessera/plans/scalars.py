@@ -29,7 +29,7 @@ for name, frm, spark, duck in [
     ("ss_4_substr", "part", fn("substr", "p_name", "p_size - 3", "5"), "substr(p_name, greatest(p_size - 3, 1), 5)"),
     ("ss_5_concat", "part", fn("concat", B, "p_type", "NULL"), f"concat({B}, p_type, NULL)"),
     ("ss_6_concat_ws", "part", fn("concat_ws", "'-'", B, "p_type"), f"concat_ws('-', {B}, p_type)"),
-    ("ss_7_trim", "part", fn("trim", r"concat(' \t', p_name, '\n ')"), "p_name"),
+    ("ss_7_trim", "part", fn("trim", r"concat(' \t', p_name, '\n ')"), r"regexp_replace(' ' || chr(9) || p_name || chr(10) || ' ', '^\s+|\s+$', '', 'g')"),
     ("ss_8_btrim", "part", fn("btrim", "p_name", "'sadr'"), "trim(p_name, 'sadr')"),
     ("ss_9_ltrim", "part", fn("ltrim", "p_name", "'sadr'"), "ltrim(p_name, 'sadr')"),
     ("ss_10_rtrim", "part", fn("rtrim", "p_name", "'gtek'"), "rtrim(p_name, 'gtek')"),
@@ -133,6 +133,15 @@ for name, spark, duck in [
     ("42_array_some", fn("array_some", "array(p_size < 2, p_size > 40)"), "p_size < 2 OR p_size > 40"), ("43_overlay_array", fn("overlay_array", A, "array(100, 200)", "2"), f"list_concat({D}[:1], [100, 200], {D}[4:])"),
 ]:
     add(f"sa_{name}", "part", spark, duck)
+
+
+def _sounds(x: str) -> str:
+    """Soundex in DuckDB: each letter's code unless it is none or that of the letter before."""
+    letters = f"regexp_replace(upper({x}), '[^A-Z]', '', 'g')"
+    code = lambda i: f"substr(translate({letters}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202'), {i}, 1)"
+    return f"CASE WHEN {letters} = '' THEN '' ELSE rpad(left({letters}, 1) || array_to_string(list_transform(list_filter(range(2, length({letters}) + 1), lambda i: {code('i')} <> '0' AND {code('i')} <> {code('i - 1')})[:3], lambda i: {code('i')}), ''), 4, '0') END"
+
+
 for name, frm, spark, duck in [
     ("sr_1_regexp_replace", "part", fn("regexp_replace", "p_name", "'([aeiou])'", "'<$1>'"), r"regexp_replace(p_name, '([aeiou])', '<\1>')"), ("sr_1_regexp_replace_all", "documents", f"md5({fn('regexp_replace', 'text', chr(39) + '[aeiou]+' + chr(39), chr(39) + '#' + chr(39), chr(39) + 'g' + chr(39))})", "md5(regexp_replace(text, '[aeiou]+', '#', 'g'))"),
     ("sr_2_regexp_match", "part", fn("regexp_match", "p_brand", "'(Brand)#([0-9]+)'"), "[regexp_extract(p_brand, '(Brand)#([0-9]+)', 1), regexp_extract(p_brand, '(Brand)#([0-9]+)', 2)]"), ("sr_3_regexp_count", "documents", fn("regexp_count", "text", "'th[aeiou]'"), "len(regexp_extract_all(text, 'th[aeiou]'))"),
@@ -140,18 +149,18 @@ for name, frm, spark, duck in [
     ("sr_6_regexp_instr", "part", fn("regexp_instr", "p_name", "'[aeiou]'"), "CASE WHEN regexp_matches(p_name, '[aeiou]') THEN strpos(p_name, regexp_extract(p_name, '[aeiou]')) ELSE 0 END"), ("sr_7_regexp_like", "documents", fn("regexp_like", "text", "'[0-9]{4}'"), "regexp_matches(text, '[0-9]{4}')"),
     ("sr_8_regexp_escape", "part", fn("regexp_escape", "concat(p_name, '.*(', p_brand)"), r"p_name || '\.\*\(' || p_brand"),
     ("sc_1_md5", "documents", fn("md5", "text"), "md5(text)"), ("sc_2_sha256", "documents", fn("sha256", "text"), "sha256(text)"), ("sc_3_encode", "part", f"concat({fn('encode', 'p_name', chr(39) + 'hex' + chr(39))}, {fn('encode', 'p_name', chr(39) + 'base64' + chr(39))})", "lower(hex(p_name)) || base64(encode(p_name))"),
-    ("sc_4_decode", "part", fn("decode", "lower(hex(p_name))", "'hex'"), "p_name"), ("sc_5_to_hex", "events", fn("to_hex", "event_id"), "lower(to_hex(event_id))"), ("sc_6_hashtext", "part", fn("hashtext", "p_name"), None), ("sc_7_crc32", "part", fn("crc32", "p_name"), None),
+    ("sc_4_decode", "part", fn("decode", "lower(hex(p_name))", "'hex'"), "p_name"), ("sc_5_to_hex", "events", fn("to_hex", "event_id"), "lower(to_hex(event_id))"), ("sc_6_hashtext", "part", fn("hashtext", "p_name"), None), ("sc_7_crc32", "part", fn("crc32", "p_name"), "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(p_name, ''), lambda h: CAST(ascii(h) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"),
     ("sc_8_bit_xor", "part", f"CAST({fn('bit_xor', 'p_size', '5')} AS BIGINT)", "CAST(xor(p_size, 5) AS BIGINT)"), ("sc_9_bit_and", "part", f"CAST({fn('bit_and_func', 'p_size', '5')} AS BIGINT)", "CAST(p_size & 5 AS BIGINT)"), ("sc_10_bit_or", "part", f"CAST({fn('bit_or_func', 'p_size', '5')} AS BIGINT)", "CAST(p_size | 5 AS BIGINT)"),
     ("sc_11_bit_count", "part", fn("bit_count", "p_partkey"), "CAST(bit_count(p_partkey) AS BIGINT)"), ("sc_12_bit_not", "part", f"CAST({fn('bit_not', 'p_size')} AS BIGINT)", "CAST(~p_size AS BIGINT)"),
     ("su_1_typeof", "part", f"concat_ws(',', {fn('pg_typeof', 'p_size')}, {fn('pg_typeof', 'p_partkey')}, {fn('pg_typeof', 'p_name')}, {fn('pg_typeof', 'p_retailprice')}, {fn('pg_typeof', 'NULL')})", "'integer,bigint,text,double precision,unknown'"),
     ("su_2_to_number", "part", fn("to_number", "concat('$', p_size, ',000.5')"), "CAST(p_size AS DOUBLE) * 1000 + 0.5"), ("su_5_num_nonnulls", "part", fn("num_nonnulls", B, "p_name", "NULL"), f"CAST(({B} IS NOT NULL)::INT + 1 AS BIGINT)"), ("su_6_num_nulls", "part", fn("num_nulls", B, "p_name", "NULL"), f"CAST(({B} IS NULL)::INT + 1 AS BIGINT)"),
-    ("sf_1_levenshtein", "part", fn("levenshtein", "p_name", "p_type"), "CAST(levenshtein(p_name, p_type) AS BIGINT)"), ("sf_2_soundex", "part", fn("soundex", "p_name"), None), ("sf_3_difference", "part", fn("difference", "p_name", "p_type"), None),
+    ("sf_1_levenshtein", "part", fn("levenshtein", "p_name", "p_type"), "CAST(levenshtein(p_name, p_type) AS BIGINT)"), ("sf_2_soundex", "part", fn("soundex", "p_name"), _sounds("p_name")), ("sf_3_difference", "part", fn("difference", "p_name", "p_type"), f"CAST(len(list_filter(range(1, 5), lambda k: substr({_sounds('p_name')}, k, 1) = substr({_sounds('p_type')}, k, 1))) AS BIGINT)"),
     ("sf_4_similarity", "part", f"round({fn('similarity', 'p_name', chr(39) + 'red ring' + chr(39))}, 6)", "round(len(list_intersect(list_distinct(list_transform(range(1, length('  ' || lower(p_name) || ' ') - 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))), list_transform(range(1, 10), lambda i: substr('  red ring ', i, 3))))::DOUBLE / len(list_distinct(list_concat(list_transform(range(1, length('  ' || lower(p_name) || ' ') - 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3)), list_transform(range(1, 10), lambda i: substr('  red ring ', i, 3))))), 6)"),
     ("sf_5_hamming", "part", fn("hamming_distance", "p_name", "p_type"), "CAST(len(list_filter(range(1, greatest(length(p_name), length(p_type)) + 1), lambda i: substr(p_name, i, 1) <> substr(p_type, i, 1))) AS BIGINT)"),
     ("sj_1_build_object", "part", fn("jsonb_build_object", "'b'", "p_brand", "'a'", "p_size"), "CAST(json_object('a', p_size, 'b', p_brand) AS VARCHAR)"), ("sj_2_build_array", "part", fn("jsonb_build_array", "p_size", "7"), "CAST(json_array(p_size, 7) AS VARCHAR)"),
     ("sj_3_typeof", "events", fn("jsonb_typeof", "props"), "lower(json_type(props))"), ("sj_4_array_length", "part", fn("jsonb_array_length", f"to_json({A})"), "CAST(5 AS BIGINT)"), ("sj_5_extract_path", "events", fn("jsonb_extract_path", "props", "'k'"), "CAST(props->'k' AS VARCHAR)"),
     ("sj_6_extract_path_text", "events", fn("jsonb_extract_path_text", "props", "'k'"), "props->>'k'"), ("sj_7_object_keys", "events", fn("jsonb_object_keys", "props"), "list_sort(json_keys(props))"), ("sj_11_to_jsonb", "part", fn("to_jsonb", A), f"CAST(to_json({D}) AS VARCHAR)"),
-    ("sj_14_delete_key", "events", fn("jsonb_delete_key", "props", "'k'"), "'{}'"), ("sj_16_populate_record", "events", f"{fn('jsonb_populate_record', 'props', chr(39) + 'k BIGINT' + chr(39))}.k", "CAST(props->>'k' AS BIGINT)"), ("sj_17_array_elements", "part", fn("jsonb_array_elements", f"to_json({A})"), f"list_transform({D}, lambda x: CAST(x AS VARCHAR))"),
+    ("sj_14_delete_key", "events", fn("jsonb_delete_key", "concat('{\"a\":', event_id, ',\"z\":', props, '}')", "CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'z' ELSE 'none' END"), "CASE event_id % 3 WHEN 0 THEN '{\"z\":{\"k\":' || (props->>'k') || '}}' WHEN 1 THEN '{\"a\":' || event_id || '}' ELSE '{\"a\":' || event_id || ',\"z\":{\"k\":' || (props->>'k') || '}}' END"), ("sj_16_populate_record", "events", f"{fn('jsonb_populate_record', 'props', chr(39) + 'k BIGINT' + chr(39))}.k", "CAST(props->>'k' AS BIGINT)"), ("sj_17_array_elements", "part", fn("jsonb_array_elements", f"to_json({A})"), f"list_transform({D}, lambda x: CAST(x AS VARCHAR))"),
     ("sj_18_array_elements_text", "part", fn("jsonb_array_elements_text", f"to_json({W})"), V), ("sj_19_each", "events", fn("jsonb_each", "props"), "['k', props->>'k']"), ("sj_20_each_text", "events", fn("jsonb_each_text", "props"), "['k', props->>'k']"),
     ("sj_21_row_to_json", "part", fn("row_to_json", "named_struct('size', p_size, 'brand', p_brand)"), "CAST(json_object('size', p_size, 'brand', p_brand) AS VARCHAR)"), ("p_24_json_exists", "events", fn("jsonb_exists", "props", "'k'"), "list_contains(json_keys(props), 'k')"),
 ]:
@@ -207,12 +216,22 @@ def _events(spark: SparkSession, sf_dir: str, column) -> DataFrame:
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "sj_8_pretty": (lambda s, d: _events(s, d, json_udf.jsonb_pretty("props")), "SELECT event_id, '{' || chr(10) || '  \"k\": ' || (props->>'k') || chr(10) || '}' AS result FROM events"),
     "sj_9_strip_nulls": (lambda s, d: _events(s, d, json_udf.jsonb_strip_nulls(F.concat(F.lit('{"a":null,"b":'), "props", F.lit("}")))), "SELECT event_id, '{\"b\":{\"k\":' || (props->>'k') || '}}' AS result FROM events"),
-    "sj_10_set": (lambda s, d: _events(s, d, json_udf.jsonb_set("props", F.array(F.lit("a")), F.lit("[1]"))), "SELECT event_id, '{\"a\":[1],\"k\":' || (props->>'k') || '}' AS result FROM events"),
+    "sj_10_set": (lambda s, d: _events(s, d, json_udf.jsonb_set("props", F.expr("CASE event_id % 3 WHEN 0 THEN array('a') WHEN 1 THEN array('k') ELSE array('none', 'k') END"), F.lit("[1]"))), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"a\":[1],\"k\":' || (props->>'k') || '}' WHEN 1 THEN '{\"k\":[1]}' ELSE '{\"k\":' || (props->>'k') || '}' END AS result FROM events"),
     "sj_13_concat": (lambda s, d: _events(s, d, json_udf.jsonb_concat("props", F.lit('{"z":1}'))), "SELECT event_id, '{\"k\":' || (props->>'k') || ',\"z\":1}' AS result FROM events"),
-    "sj_15_delete_path": (lambda s, d: _events(s, d, json_udf.jsonb_delete_path(F.concat(F.lit('{"p":'), "props", F.lit("}")), F.array(F.lit("p"), F.lit("k")))), "SELECT event_id, '{\"p\":{}}' AS result FROM events"),
+    "sj_15_delete_path": (lambda s, d: _events(s, d, json_udf.jsonb_delete_path(F.concat(F.lit('{"p":'), "props", F.lit("}")), F.array(F.lit("p"), F.expr("CASE event_id % 3 WHEN 0 THEN 'k' ELSE 'none' END")))), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"p\":{}}' ELSE '{\"p\":{\"k\":' || (props->>'k') || '}}' END AS result FROM events"),
     "p_23_contains": (lambda s, d: _events(s, d, json_udf.jsonb_contains("props", F.lit('{"k":69}'))), "SELECT event_id, (props->>'k') = '69' AS result FROM events"),
     "sj_12_agg": (lambda s, d: sql(s, d, "SELECT event_type, to_json(array_sort(collect_list(event_id))) AS result FROM {events} GROUP BY event_type"), "SELECT event_type, CAST(to_json(list_sort(list(event_id))) AS VARCHAR) AS result FROM events GROUP BY event_type"),
-    **{f"{key}_{name}": (lambda s, d, e=fn(name, *args): sql(s, d, f"SELECT c_custkey, {e} AS result FROM {{customer}}"), None) for key, name, args in [("sd_1", "now", ()), ("sd_2", "current_date", ()), ("sd_3", "current_time", ()), ("sd_11", "clock_timestamp", ()), ("sd_12", "statement_timestamp", ()), ("sd_13", "timeofday", ()), ("su_3", "random", ()), ("su_4", "gen_random_uuid", ()), ("sa_27", "array_sample", ("array(1, 2, 3)", "2")), ("sa_28", "array_shuffle", ("array(1, 2, 3)",))]},
+    **{key: (lambda s, d, e=e: sql(s, d, f"SELECT c_custkey, {e} AS result FROM {{customer}}"), f"SELECT c_custkey, {q} AS result FROM customer") for key, e, q in [
+        # the clock of the other engine, to the day
+        *[(f"sd_{k}_{n}", f"date_format({fn(n)}, 'yyyy-MM-dd')", "strftime(now() AT TIME ZONE 'UTC', '%Y-%m-%d')") for k, n in ((1, "now"), (2, "current_date"), (11, "clock_timestamp"), (12, "statement_timestamp"))],
+        ("sd_3_current_time", f"{fn('current_time')} RLIKE '^[0-2][0-9]:[0-5][0-9]:[0-5][0-9]$' AND abs(CAST(left({fn('current_time')}, 2) AS INT) - hour(current_timestamp())) % 23 < 2", "regexp_matches(strftime(now(), '%H:%M:%S'), '^[0-2][0-9]:')"),
+        ("sd_13_timeofday", f"{fn('timeofday')} LIKE concat('%', year(current_timestamp()), '%')", "strftime(now(), '%Y') LIKE '20%'"),
+        ("su_3_random", f"floor({fn('random')} * 0.999)", "CAST(0 AS BIGINT)"), ("su_4_gen_random_uuid", f"{fn('gen_random_uuid')} RLIKE '^[0-9a-f]{{{{8}}}}-[0-9a-f]{{{{4}}}}-4[0-9a-f]{{{{3}}}}-[89ab][0-9a-f]{{{{3}}}}-[0-9a-f]{{{{12}}}}$'", "regexp_matches(CAST(uuid() AS VARCHAR), '^[0-9a-f]{8}-[0-9a-f]{4}-4')"),
+        ("sa_27_array_sample", f"aggregate(array({fn('array_sample', 'array(1, 2, 4, 8)', '2')}), 0, (n, a) -> n + size(a) * 100 + size(array_distinct(a)) * 10 + size(array_except(a, array(1, 2, 4, 8))))", "220"),
+        ("sa_28_array_shuffle", f"array_sort({fn('array_shuffle', 'array(3, 1, 2)')})", "[1, 2, 3]"),
+    ]},
+    "su_3_random_spread": (lambda s, d: sql(s, d, f"SELECT count(DISTINCT r) > 0.99 * count(*) AS differ, abs(avg(r) - 0.5) < 0.1 AS centred FROM (SELECT {fn('random')} AS r FROM {{orders}})"), "SELECT true AS differ, true AS centred"),
+    "su_4_uuid_spread": (lambda s, d: sql(s, d, f"SELECT count(DISTINCT u) = count(*) AS differ FROM (SELECT {fn('gen_random_uuid')} AS u FROM {{orders}})"), "SELECT count(DISTINCT u) = count(*) AS differ FROM (SELECT uuid() AS u FROM orders)"),
 }
 
 

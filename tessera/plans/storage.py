@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import functions
+from tessera.session import TABLES, shared_folder, sql, table
+from tessera.sources.cursors import Cursor, Prepared, Sequence
+from tessera.sources.database import Database
 from tessera.sources.files import MaterializedView, copy_from, copy_to, dump, restore
-from tessera.session import sql, table
 from tessera.streaming import changelog
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, or where that is unset in one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
 
 
 def partition_pruned(s: SparkSession, d: str) -> DataFrame:
@@ -73,25 +73,44 @@ def materialized(s: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_tables(s: SparkSession, d: str) -> DataFrame:
-    """Columns of the tables as an information schema."""
-    rows = [("customer", f.name, k, functions.text("pg_typeof", "x") and f.dataType.simpleString()) for k, f in enumerate(table(s, d, "customer").schema, 1)]
+    """information_schema.columns of all tables of the folder."""
+    kinds = {"bigint": "bigint", "int": "integer", "string": "text", "double": "double precision", "float": "real", "timestamp_ntz": "timestamp without time zone", "timestamp": "timestamp without time zone", "date": "date", "boolean": "boolean"}
+    rows = [(t, f.name, k, kinds.get(f.dataType.simpleString(), "ARRAY" if f.dataType.typeName() == "array" else "USER-DEFINED")) for t in TABLES for k, f in enumerate(table(s, d, t).schema, 1)]
     return s.createDataFrame(rows, "table_name string, column_name string, ordinal_position long, data_type string")
 
 
+def copied_lines(s: SparkSession, d: str) -> DataFrame:
+    """COPY TO, as lines of text."""
+    path = folder(s)
+    copy_to(table(s, d, "nation").selectExpr("n_nationkey", "nullif(n_name, 'CHINA') AS n_name", "n_regionkey"), path, delimiter="|", header=False)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
 def streamed_changes(s: SparkSession, d: str) -> DataFrame:
-    """Orders as a change log in files, followed by a stream that saves the customers after each file."""
+    """Orders as a change log in four files, polled one a micro-batch in any order: the table's state is what each key's latest change says."""
     path = folder(s)
     log = table(s, d, "orders").selectExpr("CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'U' ELSE 'I' END AS op", "o_orderkey AS seq", "o_custkey AS c_custkey", "o_totalprice AS c_acctbal")
-    log.repartition(1).write.parquet(f"{path}/log")
+    log.repartition(4).write.parquet(f"{path}/log")
     at = {"now": f"{path}/v-start"}
-    table(s, d, "customer").select("c_custkey", "c_acctbal").write.parquet(at["now"])
+    table(s, d, "customer").selectExpr("'I' AS op", "-1L AS seq", "c_custkey", "c_acctbal").write.parquet(at["now"])
 
     def save(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/v{number}")
         at["now"] = f"{path}/v{number}"
 
-    changelog.follow(changelog.changes(s, f"{path}/log", log.schema), lambda: s.read.parquet(at["now"]), save, ["c_custkey"], f"{path}/slot").awaitTermination()
-    return s.read.parquet(at["now"])
+    stream = changelog.changes(s, f"{path}/log", log.schema, per_poll=1)
+    changelog.follow(stream, lambda: s.read.parquet(at["now"]), save, ["c_custkey"], f"{path}/slot").awaitTermination()
+    return s.read.parquet(at["now"]).where("op <> 'D'").select("c_custkey", "c_acctbal")
+
+
+def windowed_counts(s: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, counted by hour and type; windows are final once the watermark has passed them."""
+    path = folder(s)
+    table(s, d, "events").repartition(3).write.parquet(f"{path}/in")
+    stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{path}/in")
+    name = f"tessera_counts_{uuid.uuid4().hex}"
+    changelog.windowed(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).selectExpr("CAST(window.start AS TIMESTAMP_NTZ) AS start", "event_type", "n", "round(total, 4) AS total")
 
 
 def decoded_changes(s: SparkSession, d: str) -> DataFrame:
@@ -122,16 +141,193 @@ def created(s: SparkSession, d: str) -> DataFrame:
     return s.table(located(s, d, "big_orders", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 200000"))
 
 
+def base(s: SparkSession, d: str, *names: str) -> Database:
+    """A database with some of the folder's tables."""
+    db = Database(s, folder(s))
+    for name in names:
+        db.create(name, table(s, d, name))
+    return db
+
+
 def truncated(s: SparkSession, d: str) -> DataFrame:
-    """A table emptied, then filled again from another."""
-    name = located(s, d, "emptied", "SELECT n_nationkey, n_name FROM {nation}")
-    rows = s.table(name)
-    return rows.where("false").unionByName(sql(s, d, "SELECT s_suppkey AS n_nationkey, s_name AS n_name FROM {supplier}"))
+    """A table emptied, then filled again from another; one dropped and made anew."""
+    db = base(s, d, "nation", "supplier", "region")
+    db.script("TRUNCATE TABLE nation; INSERT INTO nation (n_nationkey, n_name) SELECT s_suppkey, s_name FROM supplier")
+    db.script("DROP TABLE region; DROP TABLE IF EXISTS region; CREATE TABLE region AS SELECT count(*) AS n FROM nation")
+    return db.sql("SELECT n_nationkey, n_name, n_regionkey, n FROM nation, region")
+
+
+def secured(s: SparkSession, d: str) -> DataFrame:
+    """Policies decide which rows SELECT, UPDATE and DELETE reach."""
+    db = base(s, d, "customer")
+    db.script("""
+        CREATE POLICY builders ON customer FOR SELECT USING (c_mktsegment = 'BUILDING');
+        CREATE POLICY owners ON customer FOR ALL USING (c_acctbal > 9000);
+        CREATE POLICY poor ON customer FOR UPDATE USING (c_acctbal < 0);
+        ALTER TABLE customer ENABLE ROW LEVEL SECURITY;
+        UPDATE customer SET c_name = 'seen';
+        DROP POLICY poor ON customer
+    """)
+    return db.sql("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+
+
+def triggered(s: SparkSession, d: str) -> DataFrame:
+    """Row triggers over a whole table: one changes and rejects rows before they are inserted, one logs them after."""
+    db = base(s, d)
+    db.script("""
+        CREATE TABLE parts (p_partkey BIGINT PRIMARY KEY, p_name TEXT, p_size INT);
+        CREATE TABLE audit (n SERIAL, what TEXT, k BIGINT);
+        CREATE FUNCTION tidy() RETURNS TRIGGER LANGUAGE plpgsql AS $$
+        BEGIN
+            IF NEW.p_size > 40 THEN RETURN NULL; END IF;
+            IF NEW.p_size % 2 = 0 THEN NEW.p_name := upper(NEW.p_name); ELSE NEW.p_size := NEW.p_size * 10; END IF;
+            RETURN NEW;
+        END $$;
+        CREATE TRIGGER tidy BEFORE INSERT ON parts FOR EACH ROW EXECUTE FUNCTION tidy();
+        CREATE FUNCTION note() RETURNS TRIGGER LANGUAGE plpgsql AS $$ BEGIN INSERT INTO audit(what, k) VALUES (lower(TG_OP), NEW.p_partkey); RETURN NEW; END $$;
+        CREATE TRIGGER note AFTER INSERT ON parts FOR EACH ROW EXECUTE FUNCTION note()
+    """)
+    db.insert("parts", table(s, d, "part").select("p_partkey", "p_name", "p_size"))
+    return db.sql("SELECT p_partkey, p_name, p_size, what FROM parts JOIN audit ON p_partkey = k")
+
+
+def row_function(s: SparkSession, d: str) -> DataFrame:
+    """A procedural function over a whole table: its branches become one expression."""
+    db = base(s, d, "part")
+    db.sql("""CREATE FUNCTION grade(n INTEGER, name TEXT) RETURNS TEXT LANGUAGE plpgsql IMMUTABLE AS $$
+        DECLARE r TEXT := 'small';
+        BEGIN
+            IF n > 30 THEN r := 'large'; ELSIF n > 10 THEN r := 'medium'; END IF;
+            IF name LIKE '%ring%' THEN RETURN r || ' ring'; END IF;
+            RETURN r;
+        END $$""")
+    return db.sql("SELECT p_partkey, grade(p_size, p_name) AS grade FROM part")
+
+
+def procedures(s: SparkSession, d: str) -> DataFrame:
+    """A block and a procedure: loops over a range and over rows, an exception caught, statements with variables."""
+    db = base(s, d, "region", "nation")
+    db.sql("CREATE TABLE found (r_name TEXT, n BIGINT, note TEXT)")
+    db.sql("""CREATE PROCEDURE count_nations(least INTEGER) LANGUAGE plpgsql AS $$
+        DECLARE r RECORD; many BIGINT;
+        BEGIN
+            FOR r IN SELECT r_regionkey, r_name FROM region WHERE r_regionkey >= least ORDER BY r_regionkey LOOP
+                SELECT count(*) INTO many FROM nation WHERE n_regionkey = r.r_regionkey;
+                INSERT INTO found VALUES (r.r_name, many, 'called');
+            END LOOP;
+        END $$""")
+    db.sql("CALL count_nations(2)")
+    db.sql("""DO $$
+        DECLARE total BIGINT := 0;
+        BEGIN
+            FOR k IN 1..10 LOOP CONTINUE WHEN k % 2 = 1; total := total + k; EXIT WHEN k >= 8; END LOOP;
+            BEGIN total := total / 0; EXCEPTION WHEN division_by_zero THEN INSERT INTO found VALUES ('caught', total, SQLSTATE); END;
+        END $$""")
+    return db.table("found")
+
+
+def slots(s: SparkSession, d: str) -> DataFrame:
+    """Changes polled through a slot three at a time, until there are none."""
+    db = base(s, d, "nation", "region", "supplier")
+    db.create_slot("reader")
+    db.slots["reader"].tables = ["nation"]
+    db.script("BEGIN; INSERT INTO nation SELECT s_suppkey + 1000, s_name, 0 FROM supplier; UPDATE region SET r_name = lower(r_name); UPDATE nation SET n_name = lower(n_name) WHERE n_regionkey = 1; COMMIT; DELETE FROM nation WHERE n_nationkey >= 1000")
+    rows, poll = [], 0
+    while changes := db.poll("reader", 3):
+        poll += 1
+        rows += [(poll, operation, name, df.count() if df is not None else 0) for _, operation, name, df in changes]
+        db.advance("reader", changes[-1][0])
+    return s.createDataFrame(rows, "poll long, op string, table_name string, n long")
+
+
+def transactions(s: SparkSession, d: str) -> DataFrame:
+    """Rolled-back changes leave nothing, those before a savepoint stay."""
+    db = base(s, d, "supplier")
+    db.script("BEGIN; DELETE FROM supplier WHERE s_nationkey < 5; SAVEPOINT a; DELETE FROM supplier; ROLLBACK TO a; COMMIT; BEGIN; UPDATE supplier SET s_name = 'x'; ROLLBACK")
+    return db.sql("SELECT s_suppkey, s_name FROM supplier")
+
+
+def backed_up(s: SparkSession, d: str) -> DataFrame:
+    db, path = base(s, d, "customer"), folder(s)
+    db.backup(path)
+    db.script("DELETE FROM customer WHERE c_acctbal > 0; UPDATE customer SET c_name = 'x'")
+    db.restore(path)
+    return db.sql("SELECT c_custkey, c_name, c_acctbal FROM customer")
+
+
+def indexed(s: SparkSession, d: str) -> DataFrame:
+    """A lookup through an index: a sorted copy whose files and pages without the value are skipped."""
+    db = base(s, d, "orders")
+    db.script("CREATE INDEX CONCURRENTLY by_customer ON orders (o_custkey); CREATE UNIQUE INDEX by_key ON orders (o_orderkey); DROP INDEX by_key")
+    return db.lookup("orders", o_custkey=77).select("o_orderkey", "o_totalprice")
+
+
+def databases(s: SparkSession, d: str) -> DataFrame:
+    """A schema made, used and dropped with its table."""
+    name = f"tessera_{uuid.uuid4().hex[:8]}"
+    s.sql(f"CREATE DATABASE {name} LOCATION '{folder(s)}/db'")
+    sql(s, d, "SELECT * FROM {region}").write.saveAsTable(f"{name}.r")
+    n = s.table(f"{name}.r").count()
+    s.sql(f"DROP DATABASE {name} CASCADE")
+    return s.createDataFrame([(n, s.catalog.databaseExists(name))], "n long, still_there boolean")
+
+
+def views_dropped(s: SparkSession, d: str) -> DataFrame:
+    """A view replaced and dropped, a materialized view that keeps its rows until it is refreshed."""
+    db = base(s, d, "nation")
+    db.spark.sql("CREATE OR REPLACE TEMPORARY VIEW few AS SELECT * FROM nation WHERE n_regionkey = 1")
+    kept = MaterializedView(db.spark, folder(s), lambda: db.sql("SELECT count(*) AS n FROM few"))
+    before = kept.read().first().n
+    db.sql("DELETE FROM nation WHERE n_nationkey = 1")
+    db.spark.sql("CREATE OR REPLACE TEMPORARY VIEW few AS SELECT * FROM nation WHERE n_regionkey = 1")
+    stale = kept.read().first().n
+    kept.refresh()
+    after = kept.read().first().n
+    db.spark.catalog.dropTempView("few")
+    kept.drop()
+    return s.createDataFrame([(before, stale, after, db.spark.catalog.tableExists("few"))], "n_before long, n_stale long, n_after long, still_there boolean")
+
+
+def fetched(s: SparkSession, d: str) -> DataFrame:
+    """DECLARE, FETCH 100, MOVE 50, FETCH 25."""
+    cursor = Cursor(sql(s, d, "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey"))
+    rows = [(1, r.o_orderkey) for r in cursor.fetch(100)]
+    cursor.move(50)
+    return s.createDataFrame(rows + [(2, r.o_orderkey) for r in cursor.fetch(25)], "fetch long, o_orderkey long")
+
+
+def prepared(s: SparkSession, d: str) -> DataFrame:
+    """One statement, run with several values."""
+    table(s, d, "orders").createOrReplaceTempView("tessera_orders")
+    q = Prepared(s, "SELECT o_orderkey, o_custkey FROM tessera_orders WHERE o_custkey = :who AND o_totalprice > :least")
+    return q.execute(who=77, least=1000).unionByName(q.execute(who=10, least=0)).unionByName(q.execute(who=5, least=1e12))
+
+
+def numbered(s: SparkSession, d: str) -> DataFrame:
+    """nextval for each row in an order, counted by ranges; then once more from where that ended."""
+    sequence = Sequence(100)
+    first = sequence.number(table(s, d, "orders").select("o_orderkey"), [F.col("o_orderkey")])
+    second = sequence.number(table(s, d, "nation").selectExpr("-n_nationkey AS o_orderkey"), [F.col("o_orderkey").desc()])
+    return first.unionByName(second)
+
+
+def unknown_statement(s: SparkSession, d: str) -> DataFrame:
+    """What no part of the engine knows raises instead of passing silently."""
+    db, rows = base(s, d), []
+    for text in ("CREATE EXTENSION x", "FROBNICATE the table", "ALTER SYSTEM SET x = 1"):
+        try:
+            db.sql(text)
+            rows.append((text, False))
+        except Exception:
+            rows.append((text, True))
+    return s.createDataFrame(rows, "statement string, raised boolean")
 
 
 def explained(s: SparkSession, d: str) -> DataFrame:
     table(s, d, "lineitem").createOrReplaceTempView("tessera_lines")
-    return s.sql("EXPLAIN FORMATTED SELECT l_partkey, sum(l_quantity) FROM tessera_lines GROUP BY l_partkey").withColumnRenamed("plan", "plan_text")
+    plan = s.sql("EXPLAIN FORMATTED SELECT l_partkey, sum(l_quantity) FROM tessera_lines GROUP BY l_partkey").first().plan
+    tree = plan.split("\n\n")[0]
+    return s.createDataFrame([("ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in plan, tree.count("HashAggregate (") == 2, tree.count("Exchange (") == 1)], "scans_two_columns boolean, aggregates_twice boolean, shuffles_once boolean")
 
 
 def analyzed(s: SparkSession, d: str) -> DataFrame:
@@ -164,9 +360,16 @@ def table_function(s: SparkSession, d: str) -> DataFrame:
 
 
 def enumerated(s: SparkSession, d: str) -> DataFrame:
+    """Values outside the type raise; with one of them allowed no more, those rows are told apart first."""
     from tessera.operators.changes import checked
 
-    return checked(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), status=F.col("o_orderstatus").isin("F", "O", "P"))
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    try:
+        checked(rows, status=F.col("o_orderstatus").isin("F", "O")).write.format("noop").mode("overwrite").save()
+        raised = False
+    except Exception:
+        raised = True
+    return checked(rows.where("o_orderstatus <> 'P'"), status=F.col("o_orderstatus").isin("F", "O")).withColumn("raised", F.lit(raised))
 
 
 _LOG = "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1)"
@@ -179,16 +382,33 @@ FRAMES = {
     "s_24_codec_lz4": (dump_restore("lz4"), "SELECT * FROM part"),
     "s_24_codec_none": (dump_restore("none"), "SELECT * FROM part"),
     "s_22_insert_select": (appended, "SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation"),
-    "s_23_catalog": (catalog_tables, None),
+    "s_23_catalog": (catalog_tables, f"SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal_position, CASE WHEN data_type LIKE '%[]' THEN 'ARRAY' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp without time zone' WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type = 'DOUBLE' THEN 'double precision' WHEN data_type = 'FLOAT' THEN 'real' ELSE lower(data_type) END AS data_type FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})"),
+    "s_16_copy_to": (copied_lines, "SELECT n_nationkey || '|' || CASE n_name WHEN 'CHINA' THEN '\\N' ELSE n_name END || '|' || n_regionkey AS line FROM nation"),
     "q_7_view": (view, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey"),
     "q_8_materialized_view": (materialized, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"),
     "t_3_streamed_changes": (streamed_changes, f"{_LOG} SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM l) UNION ALL SELECT o_custkey, o_totalprice FROM l WHERE o_orderstatus <> 'F'"),
     "t_4_decoded_changes": (decoded_changes, "SELECT n_nationkey::BIGINT AS seq, 'table nation: INSERT: n_name:' || n_name AS line FROM nation"),
     "f_1_sql_function": (sql_function, "SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
     "s_21_create_as": (created, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000"),
-    "d_3_truncate": (truncated, "SELECT s_suppkey AS n_nationkey, s_name AS n_name FROM supplier"),
-    "d_8_enum": (enumerated, "SELECT o_orderkey, o_orderstatus FROM orders"),
-    "d_14_explain": (explained, None),
+    "d_3_truncate": (truncated, "SELECT s_suppkey AS n_nationkey, s_name AS n_name, CAST(NULL AS BIGINT) AS n_regionkey, (SELECT count(*) FROM supplier) AS n FROM supplier"),
+    "d_8_enum": (enumerated, "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') > 0 AS raised FROM orders WHERE o_orderstatus <> 'P'"),
+    "d_14_explain": (explained, "SELECT true AS scans_two_columns, true AS aggregates_twice, true AS shuffles_once"),
+    "d_1_database": (databases, "SELECT count(*) AS n, false AS still_there FROM region"),
+    "d_5_index": (indexed, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 77"),
+    "d_6_views": (views_dropped, "SELECT count(*) AS n_before, count(*) AS n_stale, count(*) FILTER (WHERE n_nationkey <> 1) AS n_after, false AS still_there FROM nation WHERE n_regionkey = 1"),
+    "d_7_sequence": (numbered, "SELECT o_orderkey, 99 + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders UNION ALL SELECT -n_nationkey, 99 + (SELECT count(*) FROM orders) + row_number() OVER (ORDER BY n_nationkey) FROM nation"),
+    "d_16_row_policy": (secured, "SELECT c_custkey, CASE WHEN c_acctbal > 9000 OR c_acctbal < 0 THEN 'seen' ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 9000"),
+    "d_18_transactions": (transactions, "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey >= 5"),
+    "d_19_backup": (backed_up, "SELECT c_custkey, c_name, c_acctbal FROM customer"),
+    "d_22_unknown": (unknown_statement, "SELECT unnest(['CREATE EXTENSION x', 'FROBNICATE the table', 'ALTER SYSTEM SET x = 1']) AS statement, true AS raised"),
+    "f_2_row_function": (row_function, "SELECT p_partkey, CASE WHEN p_size > 30 THEN 'large' WHEN p_size > 10 THEN 'medium' ELSE 'small' END || CASE WHEN p_name LIKE '%ring%' THEN ' ring' ELSE '' END AS grade FROM part"),
+    "f_3_block": (procedures, "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n, 'called' AS note FROM region WHERE r_regionkey >= 2 UNION ALL SELECT 'caught', 20, 'division_by_zero'"),
+    "f_4_call": (procedures, "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n, 'called' AS note FROM region WHERE r_regionkey >= 2 UNION ALL SELECT 'caught', 20, 'division_by_zero'"),
+    "f_5_triggers": (triggered, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name, CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size * 10 END AS INT) AS p_size, 'insert' AS what FROM part WHERE p_size <= 40"),
+    "f_8_prepared": (prepared, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 77 AND o_totalprice > 1000 OR o_custkey = 10 AND o_totalprice > 0"),
+    "t_2_slots": (slots, "SELECT * FROM (VALUES (1, 'BEGIN', '', 0), (1, 'INSERT', 'nation', (SELECT count(*) FROM supplier)), (1, 'UPDATE', 'nation', (SELECT count(*) FROM nation WHERE n_regionkey = 1)), (2, 'COMMIT', '', 0), (2, 'DELETE', 'nation', (SELECT count(*) FROM supplier))) AS x(poll, op, table_name, n)"),
+    "t_6_cursor": (fetched, "SELECT CASE WHEN k <= 100 THEN 1 ELSE 2 END AS fetch, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 100 OR k BETWEEN 151 AND 175"),
+    "x_window_stream": (windowed_counts, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "d_15_analyze": (analyzed, "SELECT 'num_nulls' AS info_name, '0' AS info_value UNION ALL SELECT 'min', CAST(min(p_size) AS VARCHAR) FROM part UNION ALL SELECT 'max', CAST(max(p_size) AS VARCHAR) FROM part"),
     "f_2_script": (scripted, "SELECT 10 AS n, 30 AS total"),
     "f_6_aggregate_function": (grouped_function, "SELECT p_type, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY p_type"),

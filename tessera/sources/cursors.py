@@ -8,6 +8,8 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_folder
+
 
 class Cursor:
     """Rows of a query in chunks; one partition at a time comes to the driver."""
@@ -43,7 +45,9 @@ class Sequence:
         return self.value
 
     def number(self, df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
-        ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+        """Ranges of the order are sorted and counted in one job; the second numbers them. The ranges are written where spark.checkpoint.dir says, so that both see the same."""
+        shared_folder(df.sparkSession)
+        ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
         counts = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())
         before, total = {}, self.value
         for p, n in counts:

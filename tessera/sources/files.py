@@ -36,5 +36,10 @@ class MaterializedView:
         self.version += 1
         self.query().write.mode("overwrite").parquet(f"{self.path}/v{self.version}")
 
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tessera.operators.changes import apply_changes
+from tessera.operators.changes import latest
 
 
 def changes(spark: SparkSession, path: str, schema: StructType, per_poll: int = 1) -> DataFrame:
@@ -18,8 +18,8 @@ def changes(spark: SparkSession, path: str, schema: StructType, per_poll: int =
 
 
 def follow(stream: DataFrame, base: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Applies each micro-batch to the base table and saves the result under the batch's number; a batch that is run again saves the same."""
-    return stream.writeStream.foreachBatch(lambda batch, number: save(apply_changes(base(), batch, keys), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps of each key the latest change (op, seq and the row; a deleted key stays as its D) in the base table, and saves that under the batch's number. Files may come in any order, and a batch that is run again saves the same."""
+    return stream.writeStream.foreachBatch(lambda batch, number: save(latest(base().unionByName(batch), keys), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def decoded(log: DataFrame, name: str) -> DataFrame:
@@ -31,4 +31,4 @@ def decoded(log: DataFrame, name: str) -> DataFrame:
 
 def windowed(stream: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Extension: events by type and tumbling window, with a watermark for late ones."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
