@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from llm.common import SHARES, added_up, documents, partitions, release, shares, slices, written
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 20
-IDS = 1 << 16
+#: Numbers of tokens; bytes of ids that a task packs, about.
+IDS, PART_BYTES = 1 << 16, 64 << 20
 K1, B = 1.2, 0.75
 CACHE_ROWS, CACHE_CHARS = 400_000, 48
 _WHITE_RUN, _GAP = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
@@ -96,21 +97,22 @@ class Corpus:
 
 
 def terms_of(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, token and frequency of each distinct pair of them, in order."""
-    key, tf = np.unique(np.repeat(np.arange(len(lengths), dtype=np.int64) << 16, lengths) | ids, return_counts=True)
-    return (key >> 16).astype(np.int32), (key & 0xFFFF).astype(np.int32), tf
+    """Document, token and frequency of each distinct pair of them, by token, then document."""
+    order = np.argsort(ids.astype(np.uint16, copy=False), kind="stable")  # by digits, so in linear time
+    term, doc = ids[order], np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+    head = np.ones(len(order), np.bool_)
+    head[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(head)
+    return doc[at], term[at].astype(np.int32), np.diff(np.append(at, len(order)))
 
 
-def telling(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, docs: int) -> np.ndarray:
-    """The two tokens of each document (a row each, -1 for none) that tell most about it: often in it, and late in the vocabulary, whose order is that of merges and so from common to rare."""
-    weight = np.log(term + 2.0) * tf / (tf + K1)
-    order = np.lexsort((term, -weight, doc))
-    before = np.searchsorted(doc, np.arange(docs + 1))
-    out = np.full((docs, 2), -1, np.int64)
-    for k in range(2):
-        some = np.flatnonzero(before[1:] - before[:-1] > k)
-        out[some, k] = term[order[before[some] + k]]
-    return out
+def telling(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens of each document that tell most about it: the latest in the vocabulary, whose order is that of merges and so from common to rare. The second is -1 where there is one token only."""
+    starts = np.cumsum(lengths) - lengths
+    wide = ids.astype(np.int64)
+    first = np.maximum.reduceat(wide, starts)
+    wide[wide == np.repeat(first, lengths)] = -1
+    return first, np.maximum.reduceat(wide, starts)
 
 
 class Bm25Index:
@@ -118,17 +120,15 @@ class Bm25Index:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, corpus: Corpus | None = None):
         n = len(lengths)
-        self.doc, term, tf = terms_of(ids, lengths)
+        self.of_doc, term, tf = terms_of(ids, lengths)
+        self.df = np.bincount(term, minlength=IDS)
+        self.ends = np.cumsum(self.df)
+        corpus = corpus or Corpus(n, int(lengths.sum()), self.df)
+        scale = (K1 * (1 - B + B * lengths / max(1.0, corpus.mean))).astype(np.float32)
+        self.of_weight = corpus.idf[term] * (tf * np.float32(K1 + 1)) / (tf + scale[self.of_doc])
+        order = np.argsort(self.of_doc.astype(np.uint16) if n <= IDS else self.of_doc, kind="stable")
+        self.doc, self.term, self.weight = self.of_doc[order], term[order], self.of_weight[order]
         self.before = np.searchsorted(self.doc, np.arange(n + 1))
-        df = np.bincount(term, minlength=IDS)
-        corpus = corpus or Corpus(n, int(lengths.sum()), df)
-        scale = K1 * (1 - B + B * lengths / max(1.0, corpus.mean))
-        self.weight = (corpus.idf[term] * tf * (K1 + 1) / (tf + scale[self.doc])).astype(np.float32)
-        self.term = term
-        order = np.argsort(term, kind="stable")
-        self.of_doc, self.of_weight = self.doc[order], self.weight[order]
-        self.ends = np.cumsum(df)
-        self.df = df
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties by position."""
@@ -225,12 +225,13 @@ def _tokenised(file: str):
         for batch in slices(batches):
             texts = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             lengths = np.fromiter((len(x) // 2 for x in texts), np.int64, len(texts))
-            doc, term, tf = terms_of(np.frombuffer(b"".join(texts), "<u2").astype(np.int64), lengths)
-            total[:IDS] += np.bincount(term, minlength=IDS)
-            total[IDS : IDS + 2] += len(texts), lengths.sum()
-            key = telling(doc, term, tf, len(texts))
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(texts, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_TOKENS)
+            if not n:
+                continue
+            ids = np.frombuffer(b"".join(texts), "<u2")
+            total[:IDS] += np.bincount(terms_of(ids, lengths)[1], minlength=IDS)
+            total[IDS : IDS + 2] += n, lengths.sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), *map(pa.array, telling(ids, lengths)), pa.array(texts, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_TOKENS)
             row += n
         share, counts = shares(total)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(SHARES, f.type) for f in list(_TOKENS)[:5]], pa.array(share, pa.int64()), pa.array(counts, pa.binary())], schema=_TOKENS)
@@ -255,7 +256,7 @@ def _pack(window: int, shard_tokens: int, corpus: Corpus, with_ids: bool):
             nonlocal first
             lengths = np.fromiter((len(x) // 2 for x in texts), np.int64, len(texts))
             ids = np.frombuffer(b"".join(texts), "<u2")
-            found = pack_shard(ids.astype(np.int64), lengths, window, corpus)
+            found = pack_shard(ids, lengths, window, corpus)
             before = np.cumsum(lengths) - lengths
             wide = ids.astype("<u4")
             columns = list(zip(*found))
@@ -294,7 +295,8 @@ def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKE
     total = added_up(found.where("share is not null"), IDS + SHARES)
     corpus = Corpus(int(total[IDS]), int(total[IDS + 1]), total[:IDS])
     rows = found.where("share is null").select("doc_id", "ids", "first", "second", "row")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "first", "second", "row").sortWithinPartitions("first", "second", "row").select("doc_id", "ids")
+    parts = max(partitions(docs.sparkSession), -(-2 * int(total[IDS + 1]) // PART_BYTES))
+    rows = rows.repartitionByRange(parts, "first", "second", "row").sortWithinPartitions("first", "second", "row").select("doc_id", "ids")
     return rows.mapInArrow(_pack(window, shard_tokens, corpus, with_ids), _PIECE + ", ids array<int>" * with_ids)
 
 
