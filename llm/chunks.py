@@ -1,8 +1,11 @@
 """Documents in chunks, and exchanges of packed hashes between chunks and buckets of the hash space.
 
-A chunk holds whole documents, chosen by a hash of doc_id, and is small enough for one task. What a chunk asks about its
-hashes goes to the buckets as one row a bucket, each hash once however often the chunk holds it; what a bucket answers
-comes back as one row a chunk. So a passage that a third of all documents share costs a bucket one entry a chunk.
+A chunk holds whole documents, chosen by a hash of doc_id (rows of one doc_id stay together, for they are ordered by
+text), and is small enough for one task: there are as many chunks as the session has shuffle partitions, or more where the
+table's files say that chunks would be larger than CHUNK_BYTES. What a chunk asks about its hashes goes to the buckets as
+one row a bucket, each hash once however often the chunk holds it; what a bucket answers comes back as one row a chunk.
+So a passage that a third of all documents share costs a bucket one entry a chunk, and there are never more messages than
+hashes.
 """
 
 from __future__ import annotations
@@ -21,6 +24,15 @@ MESSAGE = "bucket int, chunk int, kind int, x binary, y binary, z binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 Message = tuple[int, int, int, bytes, bytes, bytes]
 LEAST = -(1 << 63)
+#: Bytes of a chunk's documents in the table's files, at most, where these can be told from the plan.
+CHUNK_BYTES = 16 << 20
+
+
+def pieces(docs: DataFrame) -> int:
+    """How many chunks a table needs: the session's shuffle partitions, or more for a larger table."""
+    size = int(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 58 else 0  # what isn't known counts as enormous
+    return max(partitions(docs.sparkSession), -(-known // CHUNK_BYTES))
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +46,7 @@ def chunked(docs: DataFrame, per_partition: int = 2, squeeze: bool = False) -> t
 
     squeeze: the texts travel compressed one by one, which takes a third less room than the shuffle's own compression.
     """
-    n = partitions(docs.sparkSession)
+    n = pieces(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n * per_partition)).cast("int").alias("chunk")
     rows = rows.select(chunk, "doc_id", "text")

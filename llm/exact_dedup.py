@@ -169,8 +169,8 @@ def _keys(digests: list[bytes]) -> np.ndarray:
 
 
 _ENTRY = np.dtype([("id", "<i8"), ("row", "<i8"), ("rep", "<i8"), ("n", "<i8")])
-_SCAN = pa.schema([("kind", pa.int8()), ("row", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("rep", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("entries", pa.binary()), ("text", pa.binary())])
-_SCAN_SQL = "kind byte, row long, doc_id long, sha binary, rep long, shard int, keys binary, entries binary, text binary"
+_SCAN = pa.schema([("kind", pa.int8()), ("row", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("raw", pa.binary()), ("rep", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("entries", pa.binary()), ("text", pa.binary())])
+_SCAN_SQL = "kind byte, row long, doc_id long, sha binary, raw binary, rep long, shard int, keys binary, entries binary, text binary"
 ROW, RUN, VALUE = 0, 1, 2
 
 
@@ -213,10 +213,11 @@ def _scan(digest_bytes: int, memtable_bytes: int, largest: bool, shards: int):
                 yield _batch(RUN, row=[row] * len(full), shard=full, keys=[sorted_run.key[cuts[s] : cuts[s + 1]].tobytes() for s in full], entries=[entries[cuts[s] : cuts[s + 1]].tobytes() for s in full])
 
         for batch in slices(batches):
-            out: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), plain(batch.column(1)).to_pylist()):
-                text = text.lower()  # of bytes: A-Z only
+            out: list[list] = [[], [], [], [], []]
+            for doc_id, given in zip(batch.column(0).to_pylist(), plain(batch.column(1)).to_pylist()):
+                text = given.lower()  # of bytes: A-Z only
                 sha = hashlib.sha256(text).digest()
+                raw = sha if text == given else hashlib.sha256(given).digest()
                 digest = sha[:digest_bytes]
                 known = NO_ID if doc_id is None else ~doc_id if largest else doc_id
                 for c in memtable.setdefault(digest, []):
@@ -229,13 +230,13 @@ def _scan(digest_bytes: int, memtable_bytes: int, largest: bool, shards: int):
                     c = [text, row, 1, known, row]
                     memtable[digest].append(c)
                     weight += len(text) + 200
-                for column, x in zip(out, (row, doc_id, sha, c[1])):
+                for column, x in zip(out, (row, doc_id, sha, raw, c[1])):
                     column.append(x)
                 row += 1
                 if weight > memtable_bytes:
                     yield from flush()
                     memtable, weight = {}, 0
-            yield _batch(ROW, **dict(zip(("row", "doc_id", "sha", "rep"), out)))
+            yield _batch(ROW, **dict(zip(("row", "doc_id", "sha", "raw", "rep"), out)))
         if memtable:
             yield from flush()
 
@@ -301,7 +302,7 @@ def index_tables(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32, memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and raw_sha256 of the text as it is.
 
     keep: which doc_id of a class stays, "smallest" or "largest" (the index then orders identifiers backwards).
     digest_bytes: width of the index key; shorter keys collide, which verification sorts out.
@@ -319,7 +320,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest_bytes: int
     members = named.join(entries.select("rep", "n", F.struct("id", "row").alias("best")), "rep")
     totals = members.groupBy("class").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
     answer = members.select("rep", "class").join(totals, "class").select("rep", "group_size", "best")
-    rows = found.where(F.col("kind") == ROW).select("row", "doc_id", "sha", "rep")
+    rows = found.where(F.col("kind") == ROW).select("row", "doc_id", "sha", "raw", "rep")
     best = F.bitwise_not("best.id") if keep == "largest" else F.col("best.id")
     return rows.join(answer, "rep").select(
         "doc_id",
@@ -327,19 +328,19 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest_bytes: int
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.lower(F.hex("raw")).alias("raw_sha256"),
     )
 
 
 def deduplicated(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each text. Rows are told by doc_id and text together, so that of a repeated doc_id each text is judged by itself."""
     found = exact_duplicates(docs, keep)
-    stays = found.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept")
-    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    return rows_named(docs, written(stays.select("doc_id", "digest", "n"), "exact-stays"), sha)
+    stays = found.groupBy("doc_id", F.col("raw_sha256").alias("digest")).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept")
+    return rows_named(docs, written(stays.select("doc_id", "digest", "n"), "exact-stays"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(documents(spark, sf_dir), keep="largest")
+    return exact_duplicates(documents(spark, sf_dir), keep="largest").drop("raw_sha256")
 
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

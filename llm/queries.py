@@ -44,4 +44,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op10_suffix_dedup": suffixes.OP10_SQL}

@@ -298,10 +298,12 @@ def _sketches(width: int, counts: np.ndarray, similarity: float):
 
 
 _POSTING = np.dtype([("hash", "<u4"), ("size", "<u4"), ("node", "<i8"), ("class", "<i8")])
+#: The same where every node is a class of its own.
+_SINGLE = np.dtype(_POSTING.descr[:3])
 
 
-def _postings(parts: int):
-    """Rows of node, size, class and prefix -> the prefixes' hashes by parts of the hash space, with size, node and class."""
+def _postings(parts: int, kind: np.dtype):
+    """Rows of node, size, class and prefix -> the prefixes' hashes by parts of the hash space, with size, node and (where kind has it) class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000):
@@ -310,9 +312,9 @@ def _postings(parts: int):
             row = np.repeat(np.arange(len(found)), [len(x) // 8 for x in found])
             part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             at = np.argsort(part, kind="stable")
-            out = np.empty(len(at), _POSTING)
+            out = np.empty(len(at), kind)
             out["hash"] = hashes[at].astype(np.uint32)
-            for k, name in enumerate(("node", "size", "class")):
+            for k, name in [x for x in enumerate(("node", "size", "class")) if x[1] in kind.names]:
                 out[name] = np.asarray(batch.column(k))[row[at]]
             which, begin = np.unique(part[at], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(which), pa.array([x.tobytes() for x in np.split(out, begin[1:])] if len(which) else [], pa.binary())], names=["part", "postings"])
@@ -384,7 +386,12 @@ def _sharing(similarity: float, chains: bool):
         now, held = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            postings = several(np.frombuffer(b"".join(held), _POSTING))
+            postings = np.frombuffer(b"".join(held), _SINGLE if chains else _POSTING)
+            if chains:
+                single, postings = postings, np.empty(len(postings), _POSTING)
+                for name in _POSTING.names:
+                    postings[name] = single[name if name != "class" else "node"]
+            postings = several(postings)
             for found in [neighbouring(postings, similarity)] if chains else sharing(postings, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
@@ -401,9 +408,9 @@ def _sharing(similarity: float, chains: bool):
 
 
 def prefix_links(nodes: DataFrame, similarity: float, chains: bool = False) -> DataFrame:
-    """nodes: node, size, class, prefix -> pairs (u, v) of nodes of different classes, u < v, which share a hash of their prefixes: all of at least the similarity, and some others; chains: only those next to each other by size under a hash."""
+    """nodes: node, size, class, prefix -> pairs (u, v) of nodes of different classes, u < v, which share a hash of their prefixes: all of at least the similarity, and some others; chains: each node is a class of its own, and only those next to each other by size under a hash are told."""
     parts = partitions(nodes.sparkSession)
-    found = nodes.select("node", "size", "class", "prefix").mapInArrow(_postings(parts), "part long, postings binary")
+    found = nodes.select("node", "size", "class", "prefix").mapInArrow(_postings(parts, _SINGLE if chains else _POSTING), "part long, postings binary")
     return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sharing(similarity, chains), "u long, v long").distinct()
 
 

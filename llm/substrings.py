@@ -186,3 +186,16 @@ def repeated_passages(docs: DataFrame, width: int = WORDS) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20),
+gone AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(w[k : k + 19], ' ') ORDER BY doc_id, k) AS n FROM starts) WHERE n > 1),
+marked AS (SELECT doc_id, k, sum(CASE WHEN k > before + 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM (SELECT doc_id, k, lag(k, 1, k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone)),
+runs AS (SELECT doc_id, min(k) - 1 AS a, max(k) + 19 AS b FROM marked GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM runs),
+kept AS (SELECT d.doc_id, sum(b - a) AS n, list_concat(flatten(list(w[since + 1 : a] ORDER BY a)), any_value(w)[max(b) + 1 : len(any_value(w))]) AS w FROM gaps JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(array_to_string(CASE WHEN kept.doc_id IS NULL THEN d.w ELSE kept.w END, ' ')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -58,7 +58,7 @@ def with_null_id(spark):
     return spark.createDataFrame([(None, "a b c d e f", "en", 1, 1, "", 1), (1, "a b c d e f", "en", 1, 1, "", 1), (2, None, None, None, None, None, None)], COLUMNS)
 
 
-OPERATORS = [exact_dedup.exact_duplicates, packing.packed, simhash.simhash_classes, simhash.similar_classes, substrings.repeated_passages, suffixes.repeated_strings, katz.katz_scores, fingerprints.edited_fingerprints, fingerprints.fingerprints, pieces.encoded, exact_dedup.deduplicated, simhash.near_deduplicated]
+OPERATORS = [exact_dedup.exact_duplicates, packing.packed, simhash.simhash_classes, simhash.similar_classes, substrings.repeated_passages, suffixes.repeated_strings, katz.katz_scores, fingerprints.edited_fingerprints, fingerprints.fingerprints, pieces.encoded, exact_dedup.deduplicated, simhash.near_deduplicated, pii.personal_data, pii.masked]
 
 
 @pytest.mark.parametrize("operator", OPERATORS, ids=lambda f: f.__name__)
@@ -77,7 +77,8 @@ def test_exact(docs, rows, keep, width):
     want = sorted((i, pick(groups[lower(t or "")]), len(groups[lower(t or "")]), hashlib.sha256(lower(t or "").encode()).hexdigest()) for i, t in rows)
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == want
     assert sum(r.kept for r in found) == len(groups) and all(r.doc_id == r.keep_id for r in found if r.kept)
-    assert exact_dedup.deduplicated(docs, keep).count() == len(groups)
+    kept = exact_dedup.deduplicated(docs, keep).collect()
+    assert len(kept) == len(groups) and all(r.doc_id == pick(groups[lower(r.text or "")]) for r in kept)
 
 
 def test_lsm_index():
@@ -364,35 +365,107 @@ def test_suffix_order():
         assert got == sorted(wanted.tolist(), key=lambda k: text.tobytes()[k:])
 
 
-def test_katz(docs, rows):
-    tokens = [(i, WORD.findall(lower(t or "")) + ["</s>"]) for i, t in rows]
-    out = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
-    words, pairs, histories = collections.Counter(), collections.Counter(), collections.Counter()
+def good_turing(counts, most=5):
+    """Katz's factors of counts 1 to most, worked out from his formulas in plain numbers; smoothed, or absolute, where these give none."""
+    n = [sum(c == r for c in counts) for r in range(1, most + 2)]
+
+    def factors(n):
+        if not n[0] or not all(n[:-1]):
+            return None
+        top = (most + 1) * n[most] / n[0]
+        if top == 1:
+            return None
+        out = [((r + 1) * n[r] / (r * n[r - 1]) - top) / (1 - top) for r in range(1, most + 1)]
+        return out if all(0 < d < 1 for d in out) else None
+
+    x, y = [math.log(r) for r in range(1, most + 2)], [math.log(max(v, 0.5)) for v in n]
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    smooth = [math.exp(my + slope * (a - mx)) for a in x]
+    plain = factors(n)
+    if plain is None and n[0]:
+        plain = factors(smooth)
+    if plain is None:
+        share = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+        plain = [1 - min(0.9, max(0.1, share)) / r for r in range(1, most + 1)]
+    return plain
+
+
+def katz_by_hand(tokens, out, order):
+    """A function P(word, history) by the definition: counters, recursion, no arrays."""
+    grams = [collections.Counter() for _ in range(order + 1)]
+    histories = [collections.Counter() for _ in range(order + 1)]
+    followers = collections.defaultdict(set)
     for i, t in tokens:
         if i not in out:
-            words.update(t)
-            h = ["<s>", *t[:-1]]
-            pairs.update(zip(h, t))
-            histories.update(h)
+            padded = ["<s>"] * (order - 1) + t
+            for k in range(order - 1, len(padded)):
+                for n in range(1, order + 1):
+                    g = tuple(padded[k - n + 1 : k + 1])
+                    grams[n][g] += 1
+                    histories[n][g[:-1]] += 1
+                    followers[g[:-1]].add(g[-1])
+    d = [None] + [good_turing(grams[n].values()) for n in range(1, order + 1)]
+    kept = lambda n, c: c * d[n][c - 1] if c <= 5 else c
+    total = sum(grams[1].values())
+    freed = sum(c - kept(1, c) for c in grams[1].values())
+    memo = {}
+
+    def p(w, h):
+        n = len(h) + 1
+        if n == 1:
+            c = grams[1][w,]
+            if not c:
+                return freed / total if freed > 0 else 1 / (total + 1)
+            return kept(1, c) / total * (1 if freed > 0 else total / (total + 1))
+        count = histories[n][h]
+        if not count:
+            return p(w, h[1:])
+        if h not in memo:
+            free = 1 - sum(kept(n, grams[n][(*h, v)]) for v in followers[h]) / count
+            scale = 1 / count
+            if free < 1e-12:
+                free, scale = 1 / (count + 1), 1 / (count + 1)
+            memo[h] = scale, free / (1 - sum(p(v, h[1:]) for v in followers[h]))
+        scale, alpha = memo[h]
+        c = grams[n][(*h, w)]
+        return kept(n, c) * scale if c else alpha * p(w, h[1:])
+
+    return p, grams[1]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, rows, order):
+    tokens = [(i, WORD.findall(lower(t or "")) + ["</s>"]) for i, t in rows]
+    out = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    p, words = katz_by_hand(tokens, out, order)
+    words = collections.Counter({w: c for (w,), c in words.items()})
     n, v = sum(words.values()), len(words)
-    of = lambda c: np.array([n, v] + [sum(x == r for x in c.values()) for r in range(1, 7)])
-    model = katz.Model(of(words), of(pairs))
-    single = {w: float(model.word(np.array(c))) for w, c in words.items()}
-    kept, seen = collections.Counter(), collections.Counter()
-    for (h, w), c in pairs.items():
-        kept[h] += float(katz.discounted(np.array(c), model.pair_d))
-        seen[h] += single[w]
-
-    def p(h, w):
-        scale, alpha = katz.backoff(np.array(histories[h]), kept[h], seen[h])
-        return float(katz.probability(np.array(pairs[h, w]), np.array(histories[h]), np.array(words[w]), scale, alpha, model))
-
-    for h in ["<s>", "one", "same", *list(histories)[:5]]:
-        assert math.isclose(sum(p(h, w) for w in words) + p(h, "\0unknown"), 1, abs_tol=1e-9)
-    want = sorted((i, i in out, len(t), sum(words[w] > 0 for w in t), n, round(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t)), 6)) for i, t in tokens)
-    found = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.katz_scores(docs).collect())
+    pad = ("<s>",) * (order - 1)
+    some = [pad, ("one", "two", "three")[: order - 1], ("same",) * (order - 1), *[(*pad, *t)[k : k + order - 1] for i, t in tokens[:4] for k in (0, 1, 5)]]
+    for h in some:
+        assert math.isclose(sum(p(w, h) for w in words) + p("\0unknown", h), 1, abs_tol=1e-9)
+
+    def score(t):
+        padded = [*pad, *t]
+        return sum(math.log10(p(padded[k], tuple(padded[k - order + 1 : k]))) for k in range(order - 1, len(padded)))
+
+    want = sorted((i, i in out, len(t), sum(words[w] > 0 for w in t), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), score(t)) for i, t in tokens)
+    found = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.katz_scores(docs, order).collect())
     assert [f[:5] for f in found] == [w[:5] for w in want]
-    assert all(abs(a - b) < 2e-5 for f, w in zip(found, want) for a, b in zip(f[5:], w[5:]))
+    assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for f, w in zip(found, want) for a, b in zip(f[5:], w[5:]))
+
+
+def test_good_turing():
+    """Where counts of counts are regular, the factors are Katz's; they are always between 0 and 1."""
+    n = np.array([5000, 1800, 900, 520, 340, 240])
+    counts = [r for r, k in enumerate(n.tolist(), 1) for _ in range(k)]
+    assert np.allclose(katz.discounts(n), good_turing(counts)) and math.isclose(katz.discounts(n)[0], (2 * 1800 / 5000 - 6 * 240 / 5000) / (1 - 6 * 240 / 5000))
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = rng.integers(0, 40, 6)
+        d = katz.discounts(n)
+        assert (d > 0).all() and (d < 1).all() and np.allclose(d, good_turing([r for r, k in enumerate(n.tolist(), 1) for _ in range(k)]))
 
 
 def test_fingerprints(docs, rows):
@@ -554,6 +627,50 @@ def test_personal_data(spark, tagger):
     assert {r.doc_id: r.text for r in pii.masked(df, tagger).collect()}[5] == "card [CARD]!"
 
 
+def test_personal_data_odd_rows(spark, tagger):
+    """Digit runs of any length, null ids, repeats, an empty table and clashing names."""
+    texts = ["0" * 5000 + ".1.1.1", "9" * 40000, "1." * 5000, "+1" * 3000, "a@b.co" * 500, None, "", "call +49 (030) 123-4567", "call +49 (030) 123-4567"]
+    df = spark.createDataFrame([(None if k == 0 else k // 2, t, 5, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, n_email long, spans string, n_chars long").coalesce(1)
+    found = pii.personal_data(df, tagger).collect()
+    ip, card, phone = (re.compile(p) for p in (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    digits_of = lambda t: "".join(c for c in t if "0" <= c <= "9")
+
+    def check_digit(n):
+        return sum(x if k % 2 == 0 else (2 * x) % 10 + 2 * x // 10 for k, x in enumerate(map(int, reversed(n)))) % 10 == 0
+
+    for r, t in zip(found, texts):
+        t = t or ""
+        want = [("ip", *m.span()) for m in ip.finditer(t) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) < 256 for x in m.group().split("."))] if len(t) < 20000 else []
+        want += [("card", *m.span()) for m in card.finditer(t) if 16 <= len(digits_of(m.group())) <= 19 and check_digit(digits_of(m.group()))]
+        want += [("phone", *m.span()) for m in phone.finditer(t) if 8 <= len(digits_of(m.group())) <= 15]
+        assert (r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[0] == k for x in want) for k in ("ip", "card", "phone"))
+        if not r.n_email:
+            assert r.base_sha256 == hashlib.sha256(",".join(":".join(map(str, x)) for x in want).encode()).hexdigest()
+    assert [r.doc_id for r in found] == [None, 0, 1, 1, 2, 2, 3, 3, 4] and found[7].spans == found[8].spans == "phone:5:23"
+    kept = pii.masked(df, tagger)
+    assert kept.columns == df.columns and [r.text for r in kept.collect()][5:] == [None, "", "call [PHONE]", "call [PHONE]"]
+    assert pii.masked(df.limit(0), tagger).count() == pii.personal_data(df.limit(0), tagger).count() == 0
+
+
+def test_patterns_against_regular_expressions():
+    """Base spans of random strings against the plain expressions."""
+    rng = random.Random(21)
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    hits = collections.Counter()
+    for k in range(20000):
+        t = "".join(rng.choice(("aB.@-+ 0123456789()_é", "4111-1 2.5+(", "10.25.7 ", "a@b.c_ -")[k % 4]) for _ in range(rng.randint(0, 40)))
+        want = []
+        for kind, p in plain.items():
+            for m in re.finditer(p, t):
+                d = "".join(c for c in m.group() if c.isdigit())
+                ok = kind == "email" or kind == "ip" and all(int(x) < 256 for x in m.group().split(".")) or kind == "card" and 16 <= len(d) <= 19 and pii.luhn(d) or kind == "phone" and 8 <= len(d) <= 15
+                if ok:
+                    want.append((kind, *m.span()))
+                    hits[kind] += 1
+        assert pii.base_spans(t) == want
+    assert min(hits[k] for k in plain) > 10
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("bdfgklmnprstvaeiou") for _ in range(6)) for _ in range(400)]
