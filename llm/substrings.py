@@ -190,8 +190,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20),
-gone AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(w[k : k + 19], ' ') ORDER BY doc_id, k) AS n FROM starts) WHERE n > 1),
+starts AS MATERIALIZED (SELECT doc_id, k, array_to_string(w[k : k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+again AS (SELECT s, min({'d': doc_id, 'k': k}) AS least FROM starts GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, k FROM starts JOIN again USING (s) WHERE {'d': doc_id, 'k': k} <> least),
 marked AS (SELECT doc_id, k, sum(CASE WHEN k > before + 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM (SELECT doc_id, k, lag(k, 1, k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone)),
 runs AS (SELECT doc_id, min(k) - 1 AS a, max(k) + 19 AS b FROM marked GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM runs),

@@ -658,7 +658,7 @@ def test_patterns_against_regular_expressions():
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     hits = collections.Counter()
     for k in range(20000):
-        t = "".join(rng.choice(("aB.@-+ 0123456789()_é", "4111-1 2.5+(", "10.25.7 ", "a@b.c_ -")[k % 4]) for _ in range(rng.randint(0, 40)))
+        t = "".join(rng.choice(("aB.@-+ 0123456789()_é", "4111222533367-", "10.25.7 ", "+123 (4)-")[k % 4]) for _ in range(rng.randint(0, 40)))
         want = []
         for kind, p in plain.items():
             for m in re.finditer(p, t):
