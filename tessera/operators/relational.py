@@ -37,18 +37,31 @@ def groups_frame(df: DataFrame, partition: list[str], order: Column, start: int,
     return ranked.withColumn(name, value.over(Window.partitionBy(*partition).orderBy("_g").rangeBetween(start, end))).drop("_g")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
-    """Each left row with the given columns of the last right row of its key at or before its time.
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], slice_seconds: int = 0) -> DataFrame:
+    """Each left row with the given columns of the last right row of its key at or before its time (of several at one time, the greatest by these columns).
 
-    One shuffle on the key: both sides are laid on one time line and the last right row is carried forward. Hot keys are
-    sorted, not joined.
+    Both sides are laid on one time line and the last right row is carried forward, so a key is sorted, not joined.
+    slice_seconds: times are cut into slices of so many seconds; a task then sorts one key's slice, and what a slice
+    begins with comes from an aggregate of one row a key and slice. So a key that a third of all rows have is spread.
     """
+    t, side, row, last, part, start, before = fresh([*left.columns, *right.columns], "time", "side", "row", "last", "slice", "start", "before")
     payload = F.struct(*[F.col(c) for c in columns])
-    a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(payload.alias("p")).schema[0].dataType).alias("_last"))
-    b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), payload.alias("_last"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_last", F.last("_last", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in columns])
+    a = left.select(*by, F.col(left_time).alias(t), F.lit(1).alias(side), F.struct(*left.columns).alias(row), F.lit(None).cast(right.select(payload.alias("p")).schema[0].dataType).alias(last))
+    b = right.select(*by, F.col(right_time).alias(t), F.lit(0).alias(side), F.lit(None).cast(a.schema[row].dataType).alias(row), payload.alias(last))
+    both = a.unionByName(b)
+    number = F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (slice_seconds * 1_000_000)) if slice_seconds else F.lit(0)
+    both = both.withColumn(part, number.cast("long"))
+    w = Window.partitionBy(*by, part).orderBy(t, side, last).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(last, F.last(last, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    if slice_seconds:
+        ends = both.groupBy(*by, part).agg(F.max_by(last, F.when(F.col(side) == 0, F.struct(t, last))).alias(start))
+        ends = ends.select(*by, part, F.last(start, ignorenulls=True).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(before))
+        other = ends.select(*[F.col(k).alias(f"{k}_of_slice") for k in by], F.col(part).alias(f"{part}_of_slice"), before)
+        same = F.col(part) == F.col(f"{part}_of_slice")
+        for k in by:
+            same &= F.col(k).eqNullSafe(F.col(f"{k}_of_slice"))
+        found = found.join(other, same, "left").withColumn(last, F.coalesce(last, before))
+    return found.select(f"{row}.*", *[F.col(f"{last}.{c}").alias(c) for c in columns])
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float, longest: float) -> DataFrame:

@@ -182,7 +182,7 @@ def _checked(s: SparkSession, d: str) -> DataFrame:
 FRAMES: dict[str, tuple[Frame, str | None]] = {
     "o_7_distinct_on": (lambda s, d: distinct_on(table(s, d, "orders"), ["o_custkey"], [("o_totalprice", "desc"), "o_orderkey"]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
     "w_14_groups_frame": (lambda s, d: groups_frame(table(s, d, "part"), ["p_type"], F.col("p_size"), -1, 1, F.sum("p_partkey"), "r").select("p_partkey", "r"), "SELECT p_partkey, CAST(sum(p_partkey) OVER (PARTITION BY p_type ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS r FROM part"),
-    "j_asof": (lambda s, d: asof(table(s, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts"), table(s, d, "events").where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("seen_value")).groupBy("user_id", "seen").agg(F.max("seen_value").alias("seen_value")), ["user_id"], "ts", "seen", ["seen", "seen_value"]).select("event_id", "seen", "seen_value"), "SELECT p.event_id, v.seen, v.seen_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts AS seen, max(value) AS seen_value FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON p.user_id = v.user_id AND p.ts >= v.seen"),
+    "j_asof": (lambda s, d: asof(table(s, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts"), table(s, d, "events").where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("seen_value")).groupBy("user_id", "seen").agg(F.max("seen_value").alias("seen_value")), ["user_id"], "ts", "seen", ["seen", "seen_value"], slice_seconds=86400).select("event_id", "seen", "seen_value"), "SELECT p.event_id, v.seen, v.seen_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts AS seen, max(value) AS seen_value FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON p.user_id = v.user_id AND p.ts >= v.seen"),
     "j_range": (lambda s, d: range_join(table(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("price")), table(s, d, "supplier").select("s_suppkey", F.expr("s_acctbal").alias("lo"), F.expr("s_acctbal + 25").alias("hi")), "price", "lo", "hi", 25.0, 25.0).select("p_partkey", "s_suppkey"), "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 25"),
     "j_17_update_from": (lambda s, d: ch.update_from(_customers(s, d), _new(s, d), ["c_custkey"], {"c_acctbal": "c_acctbal"}), f"SELECT c.c_custkey, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal, c.c_mktsegment FROM customer c LEFT JOIN {_N} n ON c.c_custkey = n.c_custkey"),
     "j_17_delete_using": (lambda s, d: ch.delete_using(_customers(s, d), _new(s, d), ["c_custkey"]), f"SELECT {C} FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {_N})"),

@@ -238,3 +238,20 @@ def test_paths_that_lead_nowhere(spark, expression, value):
     spark.udf.register("set", json_udf.jsonb_set)
     spark.udf.register("delete", json_udf.jsonb_delete_path)
     assert spark.sql(f"SELECT {expression} AS r").first().r == value
+
+
+def test_asof_in_slices(spark):
+    import random
+
+    from tessera.operators.relational import asof
+
+    rng = random.Random(2)
+    at = lambda n: f"2024-01-{1 + n // 1440:02d} {n // 60 % 24:02d}:{n % 60:02d}:00"
+    a = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(20000), k) for k in range(300)]
+    b = [(rng.choice([1, 1, 3, None]), rng.randrange(20000), k) for k in range(60)]
+    left = spark.createDataFrame([(k, at(t), i) for k, t, i in a], "k int, t string, i int").selectExpr("k", "CAST(t AS TIMESTAMP_NTZ) AS t", "i")
+    right = spark.createDataFrame([(k, at(t), i) for k, t, i in b], "k int, u string, v int").selectExpr("k", "CAST(u AS TIMESTAMP_NTZ) AS u", "v")
+    want = {i: max(((t2, v) for k2, t2, v in b if k2 == k and t2 <= t), default=(0, None))[1] for k, t, i in a}
+    for slices in (0, 3600, 86400):
+        found = asof(left, right, ["k"], "t", "u", ["u", "v"], slices).collect()
+        assert {r.i: r.v for r in found} == want and len(found) == 300
