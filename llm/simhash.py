@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, Block, added_up, blocks, documents, mix, partitions, release, rows_named, shares, slices, written
+from llm.common import SPACES, Block, added_up, blocks, documents, mix, partitions, release, remove_written, rows_named, shares, slices, written
 from llm.components import connected_components, star
 from llm.fingerprints import codes, likeness, shingles
 
@@ -452,11 +452,13 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
     than short shingles, on which sketches are coarse, are compared in full.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("digest", F.sha2("text", 256))
-    found = written(source.select("doc_id", "digest", "text").mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, digest string, node long, size long, sketch binary, prefix binary"), "near-scan")
-    nodes = written(found.groupBy("node", "size").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
+    scan = written(source.select("doc_id", "digest", "text").mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, digest string, node long, size long, sketch binary, prefix binary"), "near-scan")
+    nodes = written(scan.groupBy("node", "size").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
+    found = written(scan.select("doc_id", "digest", "node", "size"), "near-rows")
+    remove_written(scan)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar."""
+        """Those of the pairs that are similar, as a table; the tables on the way to it are removed."""
         of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("size").alias(f"size_{name}"))
         both = pairs.join(of("u"), "u").join(of("v"), "v")
         is_short = F.least("size_u", "size_v") < short
@@ -469,14 +471,19 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
         texts = written(source.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text"), "near-texts")
         text = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
         full = unsure.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_jaccard(width), "u long, v long, near double")
-        return likened.where(F.col("near") >= similarity + doubt).select("u", "v").unionByName(full.where(F.col("near") >= similarity).select("u", "v"))
+        links = written(likened.where(F.col("near") >= similarity + doubt).select("u", "v").unionByName(full.where(F.col("near") >= similarity).select("u", "v")), "near-links")
+        for done in (pairs, likened, texts):
+            remove_written(done)
+        return links
 
-    first = written(compared(written(prefix_links(nodes.withColumn("class", F.col("node")), similarity, chains=True), "near-pairs")), "near-links")
+    first = compared(written(prefix_links(nodes.withColumn("class", F.col("node")), similarity, chains=True), "near-pairs"))
     parts = connected_components(first).withColumnRenamed("component", "class")
     classed = nodes.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node"))
     second = compared(written(prefix_links(classed, similarity), "near-pairs"))
     parts = connected_components(first.unionByName(second))
     named = written(nodes.join(parts, "node", "left").select("node", "size", "least", F.coalesce("component", "node").alias("component")), "near-named")
+    for done in (nodes, first, second):
+        remove_written(done)
     least = named.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
     return found.select("doc_id", "digest", "node", "size").join(named.join(least, "component").select("node", "size", "component_id"), ["node", "size"]).select("doc_id", "component_id", "digest")
 
