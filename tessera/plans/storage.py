@@ -12,6 +12,7 @@ from tessera.session import TABLES, shared_folder, sql, table
 from tessera.sources.cursors import Cursor, Prepared, Sequence
 from tessera.sources.database import Database
 from tessera.sources.files import MaterializedView, copy_from, copy_to, dump, restore
+from tessera.sources.objects import ObjectStore
 from tessera.streaming import changelog
 
 
@@ -311,6 +312,45 @@ def numbered(s: SparkSession, d: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def privileged(s: SparkSession, d: str) -> DataFrame:
+    """What a role may do, by grants to it, to a role it is a member of, and to everyone; what is refused raises."""
+    db, rows = base(s, d, "nation", "region"), []
+    db.script("CREATE ROLE reader; CREATE ROLE clerk; GRANT SELECT, DELETE ON nation TO reader; GRANT reader TO clerk; GRANT SELECT ON region TO public; SET ROLE clerk")
+    for text in ("SELECT * FROM nation", "SELECT * FROM region", "DELETE FROM nation WHERE n_regionkey = 1", "UPDATE nation SET n_regionkey = 0", "DELETE FROM region", "DROP TABLE nation"):
+        try:
+            found = db.sql(text)
+            rows.append((text, True, found.count() if found is not None else None))
+        except Exception:
+            rows.append((text, False, None))
+    db.sql("RESET ROLE")
+    return s.createDataFrame([*rows, ("left", True, db.table("nation").count())], "statement string, allowed boolean, n long")
+
+
+def notified(s: SparkSession, d: str) -> DataFrame:
+    """Messages to those that listen; of a transaction those that it committed, each once."""
+    db = base(s, d, "region")
+    db.script("LISTEN changes; NOTIFY changes, 'first'; NOTIFY other, 'unheard'; BEGIN; NOTIFY changes, 'second'; NOTIFY changes, 'second'; ROLLBACK; BEGIN; NOTIFY changes, 'third'; NOTIFY changes, 'third'; COMMIT")
+    for r in db.sql("SELECT r_name FROM region ORDER BY r_regionkey").collect():
+        db.notify("changes", r.r_name)
+    return s.createDataFrame([(k, *x) for k, x in enumerate(db.heard_since(), 1)], "place long, channel string, payload string")
+
+
+def shown(s: SparkSession, d: str) -> DataFrame:
+    """SHOW table_stats after an insert."""
+    db = base(s, d, "nation", "region", "supplier")
+    db.sql("INSERT INTO region SELECT n_nationkey + 100, n_name FROM nation")
+    return db.sql("SHOW table_stats")
+
+
+def stored_objects(s: SparkSession, d: str) -> DataFrame:
+    """Rows as objects of a store, listed by a prefix and read back."""
+    store = ObjectStore(s, folder(s))
+    for r in table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        store.put(f"region-{r.n_regionkey}/{r.n_nationkey}", r.n_name.encode())
+    store.delete("region-1/1")
+    return s.createDataFrame([(name, store.get(name).decode(), store.size(name)) for name in store.list("region-1/")], "name string, content string, size long")
+
+
 def unknown_statement(s: SparkSession, d: str) -> DataFrame:
     """What no part of the engine knows raises instead of passing silently."""
     db, rows = base(s, d), []
@@ -398,6 +438,10 @@ FRAMES = {
     "d_6_views": (views_dropped, "SELECT count(*) AS n_before, count(*) AS n_stale, count(*) FILTER (WHERE n_nationkey <> 1) AS n_after, false AS still_there FROM nation WHERE n_regionkey = 1"),
     "d_7_sequence": (numbered, "SELECT o_orderkey, 99 + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders UNION ALL SELECT -n_nationkey, 99 + (SELECT count(*) FROM orders) + row_number() OVER (ORDER BY n_nationkey) FROM nation"),
     "d_16_row_policy": (secured, "SELECT c_custkey, CASE WHEN c_acctbal > 9000 OR c_acctbal < 0 THEN 'seen' ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 9000"),
+    "d_17_roles": (privileged, "SELECT * FROM (VALUES ('SELECT * FROM nation', true, (SELECT count(*) FROM nation)), ('SELECT * FROM region', true, (SELECT count(*) FROM region)), ('DELETE FROM nation WHERE n_regionkey = 1', true, NULL), ('UPDATE nation SET n_regionkey = 0', false, NULL), ('DELETE FROM region', false, NULL), ('DROP TABLE nation', false, NULL), ('left', true, (SELECT count(*) FROM nation WHERE n_regionkey <> 1))) AS x(statement, allowed, n)"),
+    "d_20_show": (shown, "SELECT 'nation' AS table_name, count(*) AS row_count, CAST(3 AS BIGINT) AS column_count, CAST(1 AS BIGINT) AS folders FROM nation UNION ALL SELECT 'region', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation), 2, 2 UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'supplier'), 1"),
+    "t_7_notify": (notified, "SELECT * FROM (VALUES (1, 'changes', 'first'), (2, 'changes', 'third')) AS x(place, channel, payload) UNION ALL SELECT 2 + row_number() OVER (ORDER BY r_regionkey), 'changes', r_name FROM region"),
+    "s_20_objects": (stored_objects, "SELECT 'region-1/' || n_nationkey AS name, n_name AS content, length(n_name) AS size FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 1"),
     "d_18_transactions": (transactions, "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey >= 5"),
     "d_19_backup": (backed_up, "SELECT c_custkey, c_name, c_acctbal FROM customer"),
     "d_22_unknown": (unknown_statement, "SELECT unnest(['CREATE EXTENSION x', 'FROBNICATE the table', 'ALTER SYSTEM SET x = 1']) AS statement, true AS raised"),

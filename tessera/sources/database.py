@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from tessera.functions import plpgsql
 from tessera.functions.plpgsql import Compiled, Interpreter, PlError, parse, sql_type
 
-EVENTS = ("INSERT", "UPDATE", "DELETE")
+PRIVILEGES = ("SELECT", "INSERT", "UPDATE", "DELETE", "TRUNCATE", "ALL")
 
 
 @dataclass
@@ -80,8 +80,15 @@ class Slot:
     markers: bool = True
 
 
+@dataclass
+class Role:
+    name: str
+    superuser: bool = False
+    member_of: set[str] = field(default_factory=set)
+
+
 class Database:
-    """folder: shared by all executors."""
+    """folder: shared by all executors. role: whose privileges count; None: the owner's, who may do everything."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark.newSession(), folder.rstrip("/")
@@ -93,6 +100,12 @@ class Database:
         self.slots: dict[str, Slot] = {}
         self.log: list[tuple[int, str, str, str | None]] = []  # lsn, operation, table, folder of its rows
         self.notices: list[tuple[str, str]] = []
+        self.roles: dict[str, Role] = {"public": Role("public")}
+        self.grants: set[tuple[str, str, str]] = set()  # role, privilege, table
+        self.role: str | None = None
+        self.channels: set[str] = set()
+        self.heard: list[tuple[str, str]] = []
+        self._unsaid: list[tuple[str, str]] = []
         self._saved: list[tuple[str, tuple]] = []
         self._lsn = 0
 
@@ -117,12 +130,17 @@ class Database:
 
     def table(self, name: str, command: str = "SELECT") -> DataFrame:
         """The rows that the policies let a command see: those of any policy for it; without policies, all."""
+        self._may(command, name)
         df, t = self.raw(name), self._table(name)
         using = [p.using for p in t.policies.values() if p.using and p.command in ("ALL", command)]
         return df.where(" OR ".join(f"({u})" for u in using)) if t.secured and using else df
 
     def _shown(self, name: str) -> None:
-        self.table(name).createOrReplaceTempView(name.lower())
+        try:
+            df = self.table(name)
+        except PlError as e:  # of a privilege: a query that reads the view says so
+            df = self.raw(name).where(F.raise_error(F.lit(str(e))).cast("boolean"))
+        df.createOrReplaceTempView(name.lower())
 
     def create(self, name: str, rows: DataFrame | None = None, schema: StructType | str | None = None, serial: tuple[str, ...] = (), if_missing: bool = False) -> None:
         if name.lower() in self.tables:
@@ -145,10 +163,13 @@ class Database:
             if if_exists:
                 return
             self._table(name)
+        self._may("ALL", name)
         del self.tables[name.lower()]
+        self.grants = {g for g in self.grants if g[2] != name.lower()}
         self.spark.catalog.dropTempView(name.lower())
 
     def truncate(self, name: str) -> None:
+        self._may("TRUNCATE", name)
         t = self._table(name)
         t.folders, t.serial = [], dict.fromkeys(t.serial, 0)
         for index in t.indexes.values():
@@ -168,6 +189,7 @@ class Database:
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """rows by the names of their columns; missing ones are NULL, or the next numbers of a serial."""
+        self._may("INSERT", name)
         t = self._table(name)
         self._fire(name, "BEFORE", "INSERT", False, None)
         rows = self._numbered(t, rows).select(*[(F.col(f.name) if f.name.lower() in map(str.lower, rows.columns) or f.name in t.serial else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema])
@@ -194,6 +216,7 @@ class Database:
 
     def update(self, name: str, values: dict[str, str], where: str = "TRUE") -> None:
         """values: columns to SQL over the row."""
+        self._may("UPDATE", name)
         t = self._table(name)
         self._fire(name, "BEFORE", "UPDATE", False, None)
         hit = F.coalesce(F.expr(where) & self._reached(t, "UPDATE"), F.lit(False))
@@ -209,6 +232,7 @@ class Database:
         self._fire(name, "AFTER", "UPDATE", False, None)
 
     def delete(self, name: str, where: str = "TRUE") -> None:
+        self._may("DELETE", name)
         t = self._table(name)
         self._fire(name, "BEFORE", "DELETE", False, None)
         hit = F.coalesce(F.expr(where) & self._reached(t, "DELETE"), F.lit(False))
@@ -269,6 +293,7 @@ class Database:
 
     def lookup(self, name: str, **values) -> DataFrame:
         """Rows with these values, read through an index on the columns where there is one: all but the files and pages that can hold them are skipped."""
+        self._may("SELECT", name)
         t = self._table(name)
         folders = next((x.folders for x in t.indexes.values() if x.folders and {c.lower() for c in x.columns} >= {c.lower() for c in values}), t.folders)
         df = self.spark.read.schema(t.schema).parquet(*folders) if folders else self.raw(name)
@@ -297,6 +322,84 @@ class Database:
         self._table(table).secured = on
         self._shown(table)
 
+    # --- roles and privileges
+
+    def create_role(self, name: str, superuser: bool = False) -> None:
+        if name.lower() in self.roles:
+            raise PlError(f'role "{name}" already exists', "duplicate_object")
+        self.roles[name.lower()] = Role(name.lower(), superuser)
+
+    def drop_role(self, name: str, if_exists: bool = False) -> None:
+        if name.lower() not in self.roles:
+            if if_exists:
+                return
+            self._role(name)
+        if any(g[0] == name.lower() for g in self.grants):
+            raise PlError(f'role "{name}" can\'t be dropped: it has privileges', "dependent_objects_still_exist")
+        del self.roles[name.lower()]
+        for other in self.roles.values():
+            other.member_of.discard(name.lower())
+
+    def _role(self, name: str) -> Role:
+        if name.lower() not in self.roles:
+            raise PlError(f'role "{name}" does not exist', "undefined_object")
+        return self.roles[name.lower()]
+
+    def grant(self, privileges: list[str], table: str, role: str) -> None:
+        self._may("ALL", table)
+        self._table(table), self._role(role)
+        self.grants |= {(role.lower(), p, table.lower()) for p in privileges}
+        self._shown(table)
+
+    def revoke(self, privileges: list[str], table: str, role: str) -> None:
+        self._may("ALL", table)
+        self.grants -= {(role.lower(), p, table.lower()) for p in (PRIVILEGES if "ALL" in privileges else privileges)}
+        self._shown(table)
+
+    def grant_role(self, role: str, to: str, on: bool = True) -> None:
+        """Membership: what role may, to may too. A role is no member of itself, however long the way round."""
+        self._role(role), self._role(to)
+        if on and to.lower() in self._all_of(role.lower()):
+            raise PlError(f'role "{role}" is a member of role "{to}"', "invalid_grant_operation")
+        (self.roles[to.lower()].member_of.add if on else self.roles[to.lower()].member_of.discard)(role.lower())
+
+    def _all_of(self, role: str) -> set[str]:
+        found, todo = set(), [role]
+        while todo:
+            if (name := todo.pop()) not in found:
+                found.add(name)
+                todo += self.roles[name].member_of
+        return found
+
+    def set_role(self, name: str | None) -> None:
+        self.role = self._role(name).name if name else None
+        for table in self.tables:
+            self._shown(table)
+
+    def _may(self, privilege: str, table: str) -> None:
+        """Raises unless the role, one it is a member of, or everyone has the privilege; ALL is the owner's alone."""
+        if self.role is None:
+            return
+        mine = self._all_of(self.role) | {"public"}
+        if any(self.roles[r].superuser for r in mine) or any((r, p, table.lower()) in self.grants for r in mine for p in {privilege, "ALL"}):
+            return
+        raise PlError(f"permission denied for table {table}", "insufficient_privilege")
+
+    # --- channels
+
+    def notify(self, channel: str, payload: str = "") -> None:
+        """To all that listen; in a transaction with its end, and the same message once."""
+        if self._saved:
+            if (channel, payload) not in self._unsaid:
+                self._unsaid.append((channel, payload))
+        elif channel in self.channels:
+            self.heard.append((channel, payload))
+
+    def heard_since(self) -> list[tuple[str, str]]:
+        """Messages since the last call."""
+        found, self.heard = self.heard, []
+        return found
+
     # --- triggers
 
     def create_trigger(self, trigger: Trigger, table: str) -> None:
@@ -464,6 +567,9 @@ class Database:
         self._in_transaction()
         self._saved.clear()
         self._emit("COMMIT", "", None)
+        unsaid, self._unsaid = self._unsaid, []
+        for message in unsaid:
+            self.notify(*message)
 
     def rollback(self, to: str | None = None) -> None:
         self._in_transaction()
@@ -471,6 +577,8 @@ class Database:
         if k is None:
             raise PlError(f'savepoint "{to}" does not exist', "invalid_savepoint_specification")
         self._back_to(self._saved[k][1])
+        if not to:
+            self._unsaid = []
         del self._saved[k + 1 if to else 0 :]
 
     def release(self, name: str) -> None:
@@ -505,6 +613,25 @@ class Database:
         rows = [(n, f.name, k, kinds.get(f.dataType.simpleString(), f.dataType.simpleString())) for n, t in sorted(self.tables.items()) for k, f in enumerate(t.schema, 1)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position long, data_type string")
 
+    def show(self, what: str) -> DataFrame:
+        """What the database holds: tables, table_stats, indexes, triggers, policies, functions, roles, grants or replication_slots."""
+        tables = sorted(self.tables.items())
+        made: dict[str, tuple[str, Callable[[], list[tuple]]]] = {
+            "tables": ("table_name string", lambda: [(n,) for n, _ in tables]),
+            "table_stats": ("table_name string, row_count long, column_count long, folders long", lambda: [(n, self.raw(n).count(), len(t.schema), len(t.folders)) for n, t in tables]),
+            "indexes": ("table_name string, index_name string, columns string, is_unique boolean", lambda: [(n, x.name, ", ".join(x.columns), x.unique) for n, t in tables for x in t.indexes.values()]),
+            "triggers": ("table_name string, trigger_name string, timing string, events string, level string, function string", lambda: [(n, x.name, x.timing, ", ".join(x.events), "ROW" if x.each_row else "STATEMENT", x.function) for n, t in tables for x in t.triggers.values()]),
+            "policies": ("table_name string, policy_name string, command string, using_expr string, check_expr string", lambda: [(n, x.name, x.command, x.using, x.check) for n, t in tables for x in t.policies.values()]),
+            "functions": ("function_name string, language string, returns string", lambda: [(x.name, x.language, x.returns) for _, x in sorted(self.routines.items())]),
+            "roles": ("role_name string, superuser boolean, member_of string", lambda: [(x.name, x.superuser, ", ".join(sorted(x.member_of))) for _, x in sorted(self.roles.items())]),
+            "grants": ("role_name string, privilege string, table_name string", lambda: sorted(self.grants)),
+            "replication_slots": ("slot_name string, active boolean, confirmed_lsn long", lambda: [(x.name, x.active, x.confirmed) for _, x in sorted(self.slots.items())]),
+        }
+        if what.lower() not in made:
+            raise PlError(f'there is nothing to show as "{what}"', "undefined_object")
+        schema, rows = made[what.lower()]
+        return self.spark.createDataFrame(rows(), schema)
+
     # --- statements as text
 
     def sql(self, text: str) -> DataFrame | None:
@@ -611,6 +738,22 @@ def _call(db: Database, m: re.Match) -> DataFrame | None:
     return found if isinstance(found, DataFrame) else None
 
 
+def _privileges(db: Database, m: re.Match) -> None:
+    act = db.grant if m["verb"].upper() == "GRANT" else db.revoke
+    wanted = [p.strip().upper() for p in m["privileges"].split(",")]
+    for table in _names(m["tables"]):
+        for role in _names(m["roles"]):
+            act(["ALL" if p.startswith("ALL") else p for p in wanted], table, role)
+
+
+def _notify(db: Database, m: re.Match) -> None:
+    db.notify(m["name"].lower(), (m["payload"] or "").replace("''", "'"))
+
+
+def _unlisten(db: Database, m: re.Match) -> None:
+    db.channels = set() if m["name"] == "*" else db.channels - {m["name"].lower()}
+
+
 _NAME = r"\"?(?P<name>\w+)\"?"
 _STATEMENTS: list[tuple[str, Callable[[Database, re.Match], DataFrame | None]]] = [
     (rf"CREATE\s+(?:TEMP(?:ORARY)?\s+)?TABLE\s+(?P<missing>IF\s+NOT\s+EXISTS\s+)?{_NAME}\s+AS\s+(?P<rows>.*)$", lambda db, m: db.create(m["name"], db.spark.sql(m["rows"]), if_missing=bool(m["missing"]))),
@@ -630,6 +773,17 @@ _STATEMENTS: list[tuple[str, Callable[[Database, re.Match], DataFrame | None]]]
     (rf"CREATE\s+TRIGGER\s+{_NAME}\s+(?P<timing>BEFORE|AFTER)\s+(?P<events>[\w\s]+?)\s+ON\s+(?P<table>\w+)(?:\s+FOR\s+EACH\s+(?P<level>ROW|STATEMENT))?\s+EXECUTE\s+(?:FUNCTION|PROCEDURE)\s+(?P<function>\w+)\s*\(\s*\)$", _trigger),
     (rf"DROP\s+TRIGGER\s+(?P<exists>IF\s+EXISTS\s+)?{_NAME}\s+ON\s+(?P<table>\w+)$", lambda db, m: db.drop_trigger(m["name"].lower(), m["table"], bool(m["exists"]))),
     (r"DO\s+(?P<rest>.*)$", _do),
+    (rf"CREATE\s+(?:ROLE|USER)\s+{_NAME}(?P<super>.*\bSUPERUSER\b)?.*$", lambda db, m: db.create_role(m["name"], bool(m["super"]) and "NOSUPERUSER" not in m["super"].upper())),
+    (rf"DROP\s+(?:ROLE|USER)\s+(?P<exists>IF\s+EXISTS\s+)?{_NAME}$", lambda db, m: db.drop_role(m["name"], bool(m["exists"]))),
+    (r"(?P<verb>GRANT|REVOKE)\s+(?P<privileges>(?:(?:SELECT|INSERT|UPDATE|DELETE|TRUNCATE|ALL(?:\s+PRIVILEGES)?)\s*,?\s*)+)\s+ON\s+(?:TABLE\s+)?(?P<tables>[\w,\s]+?)\s+(?:TO|FROM)\s+(?P<roles>[\w,\s]+)$", _privileges),
+    (rf"GRANT\s+{_NAME}\s+TO\s+(?P<to>\w+)$", lambda db, m: db.grant_role(m["name"], m["to"])),
+    (rf"REVOKE\s+{_NAME}\s+FROM\s+(?P<to>\w+)$", lambda db, m: db.grant_role(m["name"], m["to"], False)),
+    (r"(?:RESET\s+ROLE|SET\s+ROLE\s+NONE)$", lambda db, m: db.set_role(None)),
+    (rf"SET\s+ROLE\s+{_NAME}$", lambda db, m: db.set_role(m["name"])),
+    (rf"LISTEN\s+{_NAME}$", lambda db, m: db.channels.add(m["name"].lower())),
+    (r"UNLISTEN\s+(?P<name>\w+|\*)$", _unlisten),
+    (rf"NOTIFY\s+{_NAME}(?:\s*,\s*'(?P<payload>(?:[^']|'')*)')?$", _notify),
+    (r"SHOW\s+(?P<name>tables|table_stats|indexes|triggers|policies|functions|roles|grants|replication_slots)$", lambda db, m: db.show(m["name"])),
     (rf"CALL\s+{_NAME}\s*\((?P<values>.*)\)$", _call),
     (r"(?:BEGIN|START)(?:\s+(?:TRANSACTION|WORK))?$", lambda db, m: db.begin()),
     (r"(?:COMMIT|END)(?:\s+(?:TRANSACTION|WORK))?$", lambda db, m: db.commit()),

@@ -255,3 +255,60 @@ def test_asof_in_slices(spark):
     for slices in (0, 3600, 86400):
         found = asof(left, right, ["k"], "t", "u", ["u", "v"], slices).collect()
         assert {r.i: r.v for r in found} == want and len(found) == 300
+
+
+def test_roles(db):
+    db.script("""
+        CREATE TABLE a (id INT); CREATE TABLE b (id INT); INSERT INTO a VALUES (1), (2); INSERT INTO b VALUES (3);
+        CREATE ROLE reader; CREATE ROLE boss SUPERUSER; CREATE ROLE clerk NOSUPERUSER; GRANT SELECT, INSERT ON TABLE a TO reader; GRANT reader TO clerk; GRANT SELECT ON b TO public;
+        SET ROLE clerk; INSERT INTO a VALUES (9)
+    """)
+    assert db.sql("SELECT * FROM a").count() == 3 and db.sql("SELECT * FROM b").count() == 1
+    for text in ("DELETE FROM a", "UPDATE a SET id = 1", "TRUNCATE a", "DROP TABLE a", "INSERT INTO b VALUES (1)", "GRANT ALL ON a TO clerk"):
+        with pytest.raises(PlError, match="permission denied"):
+            db.sql(text)
+    db.script("RESET ROLE; REVOKE SELECT ON b FROM public; SET ROLE clerk")
+    with pytest.raises(Exception, match="permission denied"):
+        db.sql("SELECT * FROM b").collect()
+    with pytest.raises(PlError, match="permission denied"):
+        db.table("b")
+    db.script("SET ROLE boss; DELETE FROM a WHERE id = 9; RESET ROLE")
+    assert values(db.show("grants")) == [("reader", "INSERT", "a"), ("reader", "SELECT", "a")]
+    for text in ("GRANT clerk TO reader", "CREATE ROLE boss", "SET ROLE nobody", "DROP ROLE reader"):
+        with pytest.raises(PlError):
+            db.sql(text)
+    db.script("REVOKE ALL ON a FROM reader; REVOKE reader FROM clerk; DROP ROLE reader; DROP ROLE IF EXISTS reader")
+    assert "reader" not in db.roles
+
+
+def test_channels(db):
+    db.script("LISTEN news; NOTIFY news, 'it''s here'; NOTIFY other; BEGIN; NOTIFY news, 'x'; NOTIFY news, 'x'")
+    assert db.heard_since() == [("news", "it's here")]
+    db.script("COMMIT; BEGIN; NOTIFY news, 'never'; ROLLBACK; UNLISTEN *; NOTIFY news, 'late'")
+    assert db.heard_since() == [("news", "x")]
+
+
+def test_show(db):
+    db.script("CREATE TABLE a (id INT PRIMARY KEY, v TEXT); INSERT INTO a VALUES (1, 'x'), (2, 'y')")
+    assert values(db.sql("SHOW table_stats")) == [("a", 2, 2, 1)] and values(db.sql("SHOW indexes")) == [("a", "a_pkey", "id", True)]
+    assert db.sql("SHOW triggers").count() == db.sql("SHOW policies").count() == db.sql("SHOW functions").count() == db.sql("SHOW replication_slots").count() == 0
+    with pytest.raises(PlError):
+        db.show("weather")
+
+
+def test_objects(spark):
+    from tessera.sources.objects import ObjectStore
+
+    store = ObjectStore(spark, folder(spark))
+    assert store.list() == []
+    store.put("seg/1", bytes(range(256)))
+    store.put("seg/2", b"")
+    store.put("seg/1", b"again" * 1000)
+    store.put("other", b"x")
+    assert store.get("seg/1") == b"again" * 1000 and store.size("seg/1") == 5000 and store.get("seg/2") == b""
+    assert store.list("seg/") == ["seg/1", "seg/2"] and store.list() == ["other", "seg/1", "seg/2"]
+    assert store.delete("seg/1") and not store.delete("seg/1") and not store.exists("seg/1") and not store.exists("seg")
+    with pytest.raises(FileNotFoundError):
+        store.get("seg/1")
+    with pytest.raises(ValueError):
+        store.put("../out", b"")
