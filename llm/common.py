@@ -237,6 +237,7 @@ def added_up(counted: DataFrame, size: int) -> np.ndarray:
 def release() -> None:
     """Gives memory that this worker has freed back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

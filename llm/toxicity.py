@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import _BYTE_POWERS, Block, blocks, byte_values, crc32_of_id, documents, mix, prefix_sums, slices
+from llm.common import _BYTE_POWERS, Block, blocks, byte_values, crc32_of_id, documents, mix, prefix_sums, release, slices
 from llm.fingerprints import shingles
 
 #: Labelled rows that a fit reads at most, and bytes of their texts.
@@ -265,11 +265,12 @@ def independent(column: pa.Array) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
+def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray) -> Model:
     """The lexicon and logistic function learned from labelled texts."""
     seed = dict.fromkeys(INSULTS.split(), 1.0)
     toxic = np.asarray(toxic, np.bool_)
-    column = lowered(pa.array(texts, pa.large_string()))
+    column = lowered(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+    del texts
     if len(toxic):
         rows = independent(column)
         column, toxic = column.take(pa.array(rows)), toxic[rows]
@@ -287,11 +288,16 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             pair = np.unique(mix(hashes) ^ mix(words.doc[at].astype(np.uint64) + np.uint64(1)), return_index=True)[1] if len(at) else np.zeros(0, np.int64)
             held.append(hashes[pair])
             owner.append((block.first + words.doc[at][pair]).astype(np.int32))
-        y = toxic[np.concatenate(owner)]
-        found, back = np.unique(np.concatenate(held), return_inverse=True)
-        del held, owner
-        a = np.bincount(back, y, len(found))
-        b = np.bincount(back, ~y, len(found))
+        hashes, owner = np.concatenate(held), np.concatenate(owner)
+        del held
+        order = np.argsort(hashes)
+        hashes, y = hashes[order], toxic[owner[order]]
+        del order, owner
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+        found = hashes[first]
+        a = np.add.reduceat(y.astype(float), first) if len(first) else np.zeros(0)
+        b = np.diff(np.append(first, len(hashes))) - a
+        del hashes, y
         some = (a > 0) | (n == 0)  # of whole words all: those of the built-in lexicon may be ordinary here
         tables[n] = (found[some], a[some], b[some])
         trials += len(found)
@@ -364,7 +370,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_byt
     sizes = texts.join(F.broadcast(named), "doc_id").groupBy("place").agg(F.sum(F.octet_length("text")).alias("size")).toPandas().sort_values("place")
     most = sizes["place"][sizes["size"].cumsum() <= sample_bytes].max()
     rows = texts.join(F.broadcast(named.where(F.col("place") <= (-1 if most != most else int(most)))), "doc_id").select("text", "toxic").toArrow()
-    return fit(rows.column("text").to_pylist(), np.asarray(rows.column("toxic")) > 0)
+    toxic = np.asarray(rows.column("toxic")) > 0
+    found = fit(rows.column("text"), toxic)
+    del rows
+    release()  # the driver needs no room for the sample any more
+    return found
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
