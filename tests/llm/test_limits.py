@@ -21,3 +21,27 @@ def test_anchors_are_answered_by_bits():
         found = suffixes.answered(h, buckets, message_table([a for a in answers if a[1] == c]))
         assert found.tolist() == want.tolist() and len(h) > len(want) > 0
     assert not len(suffixes.answered(chunks[4], buckets, message_table([])))
+
+
+def test_doubling_sorts_only_ties(monkeypatch):
+    rng = np.random.default_rng(3)
+    passage = rng.integers(97, 123, 1500).astype(np.uint8)
+    text = np.concatenate([passage, rng.integers(97, 123, 60000).astype(np.uint8), passage])
+    n = 0
+
+    def counted(sort, of):
+        def run(keys, *args, **named):
+            nonlocal n
+            n += of(keys)
+            return sort(keys, *args, **named)
+
+        return run
+
+    monkeypatch.setattr(np, "lexsort", counted(np.lexsort, lambda k: len(k[0])))
+    monkeypatch.setattr(np, "argsort", counted(np.argsort, len))
+    sorter = suffixes.SuffixSorter(text)
+    assert n < 2 * len(text) * len(suffixes.COVER) / suffixes.PERIOD
+    monkeypatch.undo()
+    for text in (text[:4000], np.tile(passage[:70], 40)):
+        wanted, sorter = np.arange(len(text)), suffixes.SuffixSorter(text)
+        assert np.concatenate(list(sorter.buckets(wanted))).tolist() == sorted(wanted.tolist(), key=lambda k: text.tobytes()[k:])
