@@ -17,9 +17,8 @@ further columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,6 @@ WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 20
 #: Numbers of tokens; bytes of ids that a task packs, about.
 IDS, PART_BYTES = 1 << 16, 64 << 20
 K1, B = 1.2, 0.75
-CACHE_ROWS, CACHE_CHARS = 400_000, 48
-_WHITE_RUN, _GAP = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_bpe_file() -> str:
@@ -42,24 +39,9 @@ def byte_bpe_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class WordCache(dict):
-    """Text between two single spaces -> its ids as bytes. A space between two other characters always starts a new
-    pre-token of this vocabulary, so the ids of a text are those of its units in turn."""
-
-    def __init__(self, encode: Callable[[str], bytes], lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(self.lead + unit)
-        if len(unit) <= CACHE_CHARS:
-            if len(self) >= CACHE_ROWS:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class Encoder:
-    """Ids (unsigned 16 bits) of a byte-level BPE vocabulary."""
+    """Ids (unsigned 16 bits) of a byte-level BPE vocabulary. A text goes to the encoder whole: where words are new to it as often as
+    not, a cache of words costs more than it saves."""
 
     def __init__(self, file: str):
         import public_tokenizers
@@ -67,22 +49,17 @@ class Encoder:
 
         with open(file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-        encode = lambda text: np.asarray(own.encode(text, allowed_special="all"), "<u2").tobytes()
-        self.first, self.later = WordCache(encode, ""), WordCache(encode, " ")
+        self.own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
     def __call__(self, text: str) -> bytes:
-        units = text.split(" ") if _WHITE_RUN.search(text) is None else _GAP.split(text)
-        if len(units) == 1:
-            return self.first[text] if text else b""
-        return self.first[units[0]] + b"".join(map(self.later.__getitem__, units[1:])) if units[0] else b"".join(map(self.later.__getitem__, units[1:]))
+        return self.own.encode_to_numpy(text, allowed_special="all").astype("<u2").tobytes() if text else b""
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(file: str) -> Encoder:
-    """One encoder and cache for a worker process."""
+    """One encoder for a worker process."""
     if file not in _encoders:
         _encoders[file] = Encoder(file)
     return _encoders[file]
@@ -235,9 +212,6 @@ def _tokenised(file: str):
             row += n
         share, counts = shares(total)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(SHARES, f.type) for f in list(_TOKENS)[:5]], pa.array(share, pa.int64()), pa.array(counts, pa.binary())], schema=_TOKENS)
-        # the next task's stretch has words of its own; an idle worker needs no room for these
-        encode.first.clear()
-        encode.later.clear()
         release()
 
     return run

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from llm import suffixes
+from llm import packing, suffixes
 from llm.chunks import message_table, to_buckets
 
 
@@ -45,3 +45,19 @@ def test_doubling_sorts_only_ties(monkeypatch):
     for text in (text[:4000], np.tile(passage[:70], 40)):
         wanted, sorter = np.arange(len(text)), suffixes.SuffixSorter(text)
         assert np.concatenate(list(sorter.buckets(wanted))).tolist() == sorted(wanted.tolist(), key=lambda k: text.tobytes()[k:])
+
+
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+    import tokenizers
+
+    calls = []
+    for name in ("encode", "encode_to_numpy"):
+        plain = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, plain=plain, **named: calls.append(text) or plain(self, text, **named))
+    rng = np.random.default_rng(4)
+    text = " ".join("".join(map(chr, rng.integers(97, 123, 9))) + ("  \n", "", ", é<|endoftext|>")[k % 3] for k in range(3000))
+    ids = np.frombuffer(packing.Encoder(packing.byte_bpe_file())(text), "<u2").tolist()
+    assert ids == tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert calls == [text]
