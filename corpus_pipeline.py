@@ -37,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more in shingles of five words, the row with the smallest doc_id, of several such the one whose digest comes first, and of rows equal in both one. Texts without words are alike; rows without doc_id stay."""
+    """Of texts linked by a similarity of 0.8 or more in shingles of five words, the row with the smallest doc_id, of several such the one whose digest comes first, and of rows equal in both one. Texts without words are alike; rows without doc_id stay. SimHash tiles name the first candidates, prefixes of shingles all that are left."""
     return near_deduplicated(docs)
 
 

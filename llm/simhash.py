@@ -18,6 +18,7 @@ of rows equal in both one stays; rows without doc_id stay and link nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement, product, repeat
 
 import numpy as np
@@ -152,6 +153,7 @@ def _routed(parts: int, radius: int, tiles: dict[int, int], complete: bool):
                 out.append((np.repeat(number[to], n), which, np.ones(n.sum(), np.int8), np.repeat(to, n)))
             home, tile, role, row = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(tile), pa.array(role), pa.array(fp[row].view(np.int64)), pa.array(node[row]), pa.array(size[row])], names=["home", "tile", "role", "fp", "node", "size"])
+        release()
 
     return run
 
@@ -207,6 +209,7 @@ def _compared(radius: int, ratio: float, stars: bool, most: int = 1 << 20):
             if u:
                 found = fewer(u, v)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+        release()
 
     return run
 
@@ -261,9 +264,10 @@ def bucket_counts(source: DataFrame, width: int) -> np.ndarray:
     return np.minimum(added_up(counted, BUCKETS), 0xFFFFFFFF).astype(np.uint32)
 
 
-def prefixes(hashes: np.ndarray, owner: np.ndarray, docs: int, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(hashes: np.ndarray, owner: np.ndarray, docs: int, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sums over each document's distinct shingles, their number, and how many of them, at the front of an order, two
-    documents of the similarity can't avoid to share one of; these follow as an array of arrays.
+    documents of the similarity can't avoid to share one of; these follow as an array of arrays. Then the SimHash
+    fingerprints of the distinct shingles.
 
     The order is that of counts, so that common shingles come last, then of the hashes: the same for all documents.
     """
@@ -279,20 +283,21 @@ def prefixes(hashes: np.ndarray, owner: np.ndarray, docs: int, counts: np.ndarra
     n = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
     parts = np.empty(docs, object)
     parts[:] = [hashes[a : a + k].tobytes() for a, k in zip(places.tolist(), n.tolist())]
-    return sums[places[1:]] - sums[places[:-1]], size, parts
+    return sums[places[1:]] - sums[places[:-1]], size, parts, majority(hashes, places)
 
 
 def _sketches(width: int, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp, size, prefix, sketch = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+            node, fp, size, prefix, sketch = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
             for block in blocks(batch.column(2)):
-                sums, n, parts = prefixes(*shingles(block, width), len(block), counts, similarity)
-                fp.append(sums)
+                sums, n, parts, bits = prefixes(*shingles(block, width), len(block), counts, similarity)
+                node.append(sums)
+                fp.append(bits)
                 size.append(n)
                 prefix += parts.tolist()
                 sketch += [row.tobytes() for row in codes(block, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fp).view(np.int64)), pa.array(np.concatenate(size)), pa.array(sketch, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "digest", "node", "size", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(fp).view(np.int64)), pa.array(np.concatenate(size)), pa.array(sketch, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "digest", "node", "fp", "size", "sketch", "prefix"])
 
     return run
 
@@ -444,16 +449,18 @@ def _jaccard(width: int):
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doubt: float = 0.1, short: int = 128) -> DataFrame:
     """doc_id, component_id, and digest (sha256 of the text) of each row with a doc_id: classes of texts linked by a Jaccard index of their shingles of at least similarity.
 
-    Texts of the same set of shingles are one node. Candidates come from prefixes of the sorted shingles, of which two
-    such texts always share one. First only texts that stand next to each other by size under a shared shingle are
-    compared; what that links is a class. Then all others that share a shingle are, but for those of one class already:
-    so a group of n copies gives about n pairs under each shingle, and no link between classes is lost. Candidate pairs
+    Texts of the same set of shingles are one node. The first candidates are SimHash's: nodes whose fingerprints differ
+    in no more than RADIUS bits, found in tiles, as stars; what they link is a class. That finds most close copies and
+    can't find all links of the similarity, so the rest comes from prefixes of the sorted shingles, of which two such
+    texts always share one. First only representatives of the classes that stand next to each other by size under a
+    shared shingle are compared. Then all nodes that share a shingle are, but for those of one class already: so a group
+    of n copies gives about n pairs under each shingle, and no link between classes is lost. Candidate pairs of each kind
     are likened by sketches; those within doubt of the threshold (five standard errors), and those with a text of fewer
     than short shingles, on which sketches are coarse, are compared in full.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("digest", F.sha2("text", 256))
-    scan = written(source.select("doc_id", "digest", "text").mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, digest string, node long, size long, sketch binary, prefix binary"), "near-scan")
-    nodes = written(scan.groupBy("node", "size").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
+    scan = written(source.select("doc_id", "digest", "text").mapInArrow(_sketches(width, bucket_counts(source, width), similarity), "doc_id long, digest string, node long, fp long, size long, sketch binary, prefix binary"), "near-scan")
+    nodes = written(scan.groupBy("node", "size").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "near-nodes")
     found = written(scan.select("doc_id", "digest", "node", "size"), "near-rows")
     remove_written(scan)
 
@@ -476,13 +483,17 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
             remove_written(done)
         return links
 
-    first = compared(written(prefix_links(nodes.withColumn("class", F.col("node")), similarity, chains=True), "near-pairs"))
-    parts = connected_components(first).withColumnRenamed("component", "class")
-    classed = nodes.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    second = compared(written(prefix_links(classed, similarity), "near-pairs"))
-    parts = connected_components(first.unionByName(second))
-    named = written(nodes.join(parts, "node", "left").select("node", "size", "least", F.coalesce("component", "node").alias("component")), "near-named")
-    for done in (nodes, first, second):
+    def classed(links: list[DataFrame]) -> DataFrame:
+        """The nodes with their classes (the least node of each) by the links so far."""
+        parts = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("component", "class")
+        return nodes.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    close = fingerprint_links(nodes.select("fp", "node", "size"), RADIUS, PARTS if nodes.count() <= MANY else 2 * PARTS, ratio=similarity, stars=True)
+    links = [compared(written(close.distinct(), "near-pairs"))]
+    links.append(compared(written(prefix_links(classed(links).where(F.col("class") == F.col("node")), similarity, chains=True), "near-pairs")))
+    links.append(compared(written(prefix_links(classed(links), similarity), "near-pairs")))
+    named = written(classed(links).select("node", "size", "least", F.col("class").alias("component")), "near-named")
+    for done in (nodes, *links):
         remove_written(done)
     least = named.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
     return found.select("doc_id", "digest", "node", "size").join(named.join(least, "component").select("node", "size", "component_id"), ["node", "size"]).select("doc_id", "component_id", "digest")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from llm import packing, suffixes
+from llm import packing, simhash, suffixes
 from llm.chunks import message_table, to_buckets
 
 
@@ -61,3 +61,31 @@ def test_a_text_is_encoded_in_one_call(monkeypatch):
     ids = np.frombuffer(packing.Encoder(packing.byte_bpe_file())(text), "<u2").tolist()
     assert ids == tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
     assert calls == [text]
+
+
+def test_simhash_links_close_copies_before_prefixes_are_asked(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(2000)]
+    rows = []
+    for k in range(12):
+        text = rng.choice(words, 1500).tolist()
+        near, like = [*text[:-2], "x", "y"], [*text[:1370], *rng.choice(words, 130)]
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(near)), (10 * k + 2, " ".join(like))]
+    found, asked = [], []
+
+    def fingerprint_links(nodes, *args, plain=simhash.fingerprint_links, **named):
+        links = plain(nodes, *args, **named)
+        fp = {r.node: r.fp for r in nodes.collect()}
+        found.extend(((fp[r.u] ^ fp[r.v]) & (1 << 64) - 1).bit_count() for r in links.collect())
+        return links
+
+    def prefix_links(nodes, *args, plain=simhash.prefix_links, **named):
+        asked.append(nodes.count())
+        return plain(nodes, *args, **named)
+
+    monkeypatch.setattr(simhash, "fingerprint_links", fingerprint_links)
+    monkeypatch.setattr(simhash, "prefix_links", prefix_links)
+    classes = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in classes} == {i: i - i % 10 for i, _ in rows}
+    assert len(found) >= 10 and max(found) <= 2 * simhash.RADIUS
+    assert asked[0] < len(rows) - 8 and asked[1] == len(rows)  # representatives, then all
