@@ -19,9 +19,11 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 20
 #: Numbers of tokens; bytes of ids that a task packs, about.
 IDS, PART_BYTES = 1 << 16, 64 << 20
 K1, B = 1.2, 0.75
+#: A term that one document in so many holds has a row of weights instead of a list.
+ROW = 8
+#: Two white spaces (of Unicode) next to each other.
+RUNS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}"
 
 
 def byte_bpe_file() -> str:
@@ -41,18 +47,38 @@ def byte_bpe_file() -> str:
 
 class Encoder:
     """Ids (unsigned 16 bits) of a byte-level BPE vocabulary. A text goes to the encoder whole: where words are new to it as often as
-    not, a cache of words costs more than it saves."""
+    not, a cache of words costs more than it saves.
+
+    The pattern of words looks ahead only to leave the last of several white spaces to the word behind them. Where no two are
+    next to each other the pattern without that finds the same words, and needs no search that turns back."""
 
     def __init__(self, file: str):
+        with open(file, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+    @cached_property
+    def own(self):
+        import public_tokenizers
+
+        return self._encoding(public_tokenizers.PATTERN)
+
+    @cached_property
+    def plain(self):
         import public_tokenizers
+
+        return self._encoding(public_tokenizers.PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s+"))
+
+    def _encoding(self, pattern: str):
         import tiktoken
 
-        with open(file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={"<|endoftext|>": len(self.ranks)})
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        runs = pc.match_substring_regex(texts, RUNS).to_pylist()
+        return [(self.own if run else self.plain).encode_to_numpy(t, allowed_special="all").astype("<u2").tobytes() if t else b"" for t, run in zip(texts.to_pylist(), runs)]
 
     def __call__(self, text: str) -> bytes:
-        return self.own.encode_to_numpy(text, allowed_special="all").astype("<u2").tobytes() if text else b""
+        return self.many(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -75,12 +101,14 @@ class Corpus:
 
 def terms_of(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, token and frequency of each distinct pair of them, by token, then document."""
-    order = np.argsort(ids.astype(np.uint16, copy=False), kind="stable")  # by digits, so in linear time
-    term, doc = ids[order], np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
-    head = np.ones(len(order), np.bool_)
-    head[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(head)
-    return doc[at], term[at].astype(np.int32), np.diff(np.append(at, len(order)))
+    n = len(lengths)
+    key, bits = (np.uint32, 16) if n <= 1 << 16 else (np.uint64, 32)  # a pair in one number: these sort without an order beside them
+    pairs = ids.astype(key) << key(bits) | np.repeat(np.arange(n, dtype=key), lengths)
+    pairs.sort()
+    at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    tf = np.diff(np.append(at, len(pairs)))
+    pairs = pairs[at]
+    return (pairs & key((1 << bits) - 1)).astype(np.int32), (pairs >> key(bits)).astype(np.int32), tf
 
 
 def telling(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,34 +121,65 @@ def telling(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Bm25Index:
-    """Postings of a shard: for each term its documents and their BM25 weights."""
+    """Postings of a shard: for each term its documents and their BM25 weights. A term of many documents has a row with a
+    place for each instead of a list, and once half of the documents are used, postings are kept for the others only."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, corpus: Corpus | None = None):
         n = len(lengths)
-        self.of_doc, term, tf = terms_of(ids, lengths)
+        doc, term, tf = terms_of(ids, lengths)
         self.df = np.bincount(term, minlength=IDS)
-        self.ends = np.cumsum(self.df)
         corpus = corpus or Corpus(n, int(lengths.sum()), self.df)
         scale = (K1 * (1 - B + B * lengths / max(1.0, corpus.mean))).astype(np.float32)
-        self.of_weight = corpus.idf[term] * (tf * np.float32(K1 + 1)) / (tf + scale[self.of_doc])
-        order = np.argsort(self.of_doc.astype(np.uint16) if n <= IDS else self.of_doc, kind="stable")
-        self.doc, self.term, self.weight = self.of_doc[order], term[order], self.of_weight[order]
+        weight = corpus.idf[term] * (tf * np.float32(K1 + 1)) / (tf + scale[doc])
+        order = np.argsort(doc.astype(np.uint16) if n <= IDS else doc, kind="stable")
+        self.doc, self.term, self.weight = doc[order], term[order], weight[order]
         self.before = np.searchsorted(self.doc, np.arange(n + 1))
+        self._post(np.arange(n), doc, term, weight)
+
+    def _post(self, left: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Postings by term of the documents left; doc: places in left."""
+        self.left = left
+        n = np.bincount(term, minlength=IDS)
+        many = np.flatnonzero(n * ROW >= max(ROW, len(left)))
+        self.row = np.full(IDS, -1)
+        self.row[many] = np.arange(len(many))
+        row = self.row[term]
+        rest = row < 0
+        self.rows = np.zeros((len(many), len(left)))
+        self.rows[row[~rest], doc[~rest]] = weight[~rest]
+        n[many] = 0
+        self.ends = np.cumsum(n)
+        self.starts = self.ends - n
+        self.of_doc, self.of_weight = doc[rest].astype(np.intp), weight[rest].astype(np.float64)
+
+    def _drop(self, used: np.ndarray) -> None:
+        place = np.full(len(used), -1)
+        left = self.left[~used[self.left]]
+        place[left] = np.arange(len(left))
+        keep = place[self.doc] >= 0
+        doc, term, weight = place[self.doc[keep]], self.term[keep], self.weight[keep]
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self._post(left, doc[order], term[order], weight[order])
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties by position."""
-        lo, hi = self.before[seed], self.before[seed + 1]
-        terms = self.term[lo:hi]
+        free = ~used[self.left]
+        if 2 * np.count_nonzero(free) < len(free):
+            self._drop(used)
+            free = np.ones(len(self.left), np.bool_)
+        terms = self.term[self.before[seed] : self.before[seed + 1]]
         terms = terms[self.df[terms] > 1]
-        if not len(terms):
-            return terms
-        ends = self.ends[terms]
-        parts = list(map(slice, (ends - self.df[terms]).tolist(), ends.tolist()))
-        doc = np.concatenate([self.of_doc[p] for p in parts])
-        score = np.bincount(doc, np.concatenate([self.of_weight[p] for p in parts]), len(used))
-        score[used] = 0
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        terms = terms[row < 0]
+        starts, ends = self.starts[terms], self.ends[terms]
+        held = ends > starts
+        parts = list(map(slice, starts[held].tolist(), ends[held].tolist()))
+        if parts:
+            score += np.bincount(np.concatenate([self.of_doc[p] for p in parts]), np.concatenate([self.of_weight[p] for p in parts]), len(score))
+        score *= free
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        return self.left[found[np.argsort(-score[found], kind="stable")]]
 
 
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -196,11 +255,11 @@ def _tokenised(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(file), np.array([END], "<u2").tobytes()
+        encode, end = encoder(file).many, np.array([END], "<u2").tobytes()
         row = TaskContext.get().partitionId() << 36
         total = np.zeros(IDS + SHARES, np.int64)  # behind the tokens' documents: documents and tokens
         for batch in slices(batches):
-            texts = [encode(t or "") + end for t in batch.column(1).to_pylist()]
+            texts = [x + end for x in encode(batch.column(1))]
             lengths = np.fromiter((len(x) // 2 for x in texts), np.int64, len(texts))
             n = len(texts)
             if not n:

@@ -1,5 +1,8 @@
 """What operators exchange and sort, held against bounds that larger tables need, and against plain definitions."""
 
+import collections
+import re
+
 import numpy as np
 
 from llm import packing, simhash, suffixes
@@ -63,6 +66,56 @@ def test_a_text_is_encoded_in_one_call(monkeypatch):
     assert calls == [text]
 
 
+def test_words_are_looked_ahead_only_at_white_space_in_a_row(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+    import tokenizers
+
+    plain, calls = tiktoken.Encoding.encode_to_numpy, []
+    monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", lambda self, text, **named: calls.append((text, "(?!" in self._pat_str)) or plain(self, text, **named))
+    encode, tok = packing.Encoder(packing.byte_bpe_file()), tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(6)
+    signs = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u2028", "\u3000", "\ufeff", "ab", "é", "12", "'s", "!", "字", "<|endoftext|>"]
+    white = "[\t-\r \x85\xa0\u2003\u2028\u3000]"
+    texts = ["".join(rng.choice(signs, rng.integers(1, 12))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert calls == [(t, re.search(white * 2, t) is not None) for t in texts]
+    assert 500 < sum(ahead for _, ahead in calls) < 2500
+
+
+def test_common_terms_are_not_listed_document_by_document(monkeypatch):
+    rng = np.random.default_rng(7)
+    docs = [np.concatenate([np.arange(40), 1000 + rng.choice(3000, 60, replace=False)]) for _ in range(200)]
+    ids, lengths = np.concatenate(docs), np.full(200, 100)
+    index, used, listed, plain = packing.Bm25Index(ids, lengths), np.zeros(200, np.bool_), 0, np.bincount
+
+    def counted(x, *args, **named):
+        nonlocal listed
+        listed += len(x)
+        return plain(x, *args, **named)
+
+    weights = [dict(zip(index.term[a:b].tolist(), index.weight[a:b].astype(float).tolist())) for a, b in zip(index.before, index.before[1:])]
+    for seed in rng.permutation(200).tolist():
+        used[seed] = True
+        monkeypatch.setattr(np, "bincount", counted)
+        found = index.neighbours(seed, used).tolist()
+        monkeypatch.undo()
+        score = {d: sum(w for t, w in weights[d].items() if t in weights[seed]) for d in np.flatnonzero(~used).tolist()}
+        assert found == sorted(score, key=lambda d: (-round(score[d], 9), d))
+    assert listed < 200 * 200 * 40 / 8  # of what lists of the common terms alone would hold
+
+
+def test_pairs_of_many_documents():
+    rng = np.random.default_rng(8)
+    for n in (1000, 70_000):
+        lengths = rng.integers(1, 4, n)
+        ids = rng.choice([1, 2, 65535], int(lengths.sum())).astype("<u2")
+        pairs = collections.Counter(zip(ids.tolist(), np.repeat(np.arange(n), lengths).tolist()))
+        doc, term, tf = packing.terms_of(ids, lengths)
+        assert list(zip(term.tolist(), doc.tolist(), tf.tolist())) == [(*k, pairs[k]) for k in sorted(pairs)]
+
+
 def test_simhash_links_close_copies_before_prefixes_are_asked(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(2000)]
