@@ -142,3 +142,34 @@ def test_simhash_links_close_copies_before_prefixes_are_asked(spark, monkeypatch
     assert {r.doc_id: r.component_id for r in classes} == {i: i - i % 10 for i, _ in rows}
     assert len(found) >= 10 and max(found) <= 2 * simhash.RADIUS
     assert asked[0] < len(rows) - 8 and asked[1] == len(rows)  # representatives, then all
+
+
+def test_whole_copies_are_told_once_a_chunk():
+    """Chunks with the same texts: all but the one with the least doc_id hear of it (a null one comes first, equal ones are one document)."""
+    texts = np.array([11, 12, 13], np.uint64)
+    asked = [m for c, d in ((0, [5, 7, -(1 << 63)]), (1, [6, 7, 9]), (2, [4, 8, 3])) for m in to_buckets(c, texts, 1, np.array(d, np.int64))]
+    told = {m[1]: np.frombuffer(m[3], np.uint64).tolist() for m in suffixes.copies(message_table(asked))}
+    assert told == {0: [11], 1: [11, 13], 2: [12, 13]}
+
+
+def test_copies_lose_all_bytes(spark):
+    """Whole texts repeated in other documents, in the same one, under null, and too short to hold a string; what others share with them still counts."""
+    rng = np.random.default_rng(3)
+    long = ["".join(rng.choice(list("abcdé "), 300)) for _ in range(4)]
+    rows = [(k, t) for k, t in enumerate(long)] + [(k + 10 * j, t) for k, t in enumerate(long) for j in (1, 2, 3)] + [(None, long[3]), (None, long[3]), (2, long[2]), (40, "short"), (41, "short"), (42, ""), (43, None), (44, "x" + long[0][:80] + "y"), (-1, long[1][100:200])]
+    first = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        for k in range(len(data) - 49):
+            first[data[k : k + 50]] = min(-99 if i is None else i, first.get(data[k : k + 50], 99))
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < (-99 if i is None else i):
+                gone[k : k + 50] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).reshape(-1, 2).tolist()
+        want.append((str(i), len(data), int(gone.sum()), edge, bytes(np.frombuffer(data, np.uint8)[~gone])))
+    found = suffixes.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, [[s.start, s.end] for s in r.spans], bytes(r.kept)) for r in found) == sorted(want)
