@@ -64,13 +64,27 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
     return found.select(f"{row}.*", *[F.col(f"{last}.{c}").alias(c) for c in columns])
 
 
+#: Points and intervals of one bucket that a tile of a range join holds, about.
+TILE = 4096
+
+
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float, longest: float) -> DataFrame:
     """Points with the intervals that hold them (low <= point < high), through buckets of the given width instead of a cross join.
 
-    longest: no interval is longer; an interval goes to each bucket it touches.
+    longest: no interval is longer; an interval goes to each bucket it touches. A bucket with more than TILE points or
+    intervals is cut into tiles of about TILE of each, so that no task has more of a crowded bucket than some tiles: a
+    point goes to one row of tiles, an interval to one column. Buckets are counted first, so both inputs are read twice.
     """
     if longest / width > 1000:
         raise ValueError("width is too small for intervals this long")
-    p = points.withColumn("_b", F.floor(F.col(point) / width))
-    i = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(i, "_b").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_b")
+    b, rows, columns, r, c = fresh([*points.columns, *intervals.columns], "bucket", "rows", "columns", "row", "column")
+    p = points.withColumn(b, F.floor(F.col(point) / width))
+    i = intervals.withColumn(b, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    count = lambda df, n: df.where(F.col(b).isNotNull()).groupBy(b).agg(F.ceil(F.count("*") / TILE).alias(n))
+    crowded = F.broadcast(count(p, rows).join(count(i, columns), b).where((F.col(rows) > 1) | (F.col(columns) > 1)))
+    number = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(n), F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+    p = p.join(crowded, b, "left").withColumn(r, number(rows)).withColumn(c, every(columns)).drop(rows, columns)
+    i = i.join(crowded, b, "left").withColumn(c, number(columns)).withColumn(r, every(rows)).drop(rows, columns)
+    # merged by shuffle: a broadcast of the intervals would leave the points in the few tasks that read them
+    return p.join(i.hint("merge"), [b, r, c]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(b, r, c)

@@ -1,8 +1,11 @@
-"""Expressions work an argument out once, not for each element or word, and keep their results."""
+"""Expressions work an argument out once, not for each element or word, and crowded buckets are spread; results stay."""
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.functions import text as fn
+from tessera.operators import relational
 
 DIGITS = dict(zip("BFPVCGJKQSXZDTLMNR", "111122222222334556"))
 
@@ -21,3 +24,18 @@ def test_difference(spark):
         assert r.s == (None if r.a is None else _sounds(r.a))
         assert r.d == (None if r.a is None or r.b is None else sum(_sounds(r.a)[i : i + 1] == _sounds(r.b)[i : i + 1] for i in range(4)))
     assert "sequence" not in fn("difference", "a", "b") and fn("difference", "a", "first_").count("first_") == fn("soundex", "first_").count("first_") <= 3
+
+
+def test_crowded_bucket_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(relational, "TILE", 50)
+    rng = random.Random(6)
+    points = [(k, rng.choice([None, 7.0, 7.5, 8.0, rng.uniform(-30, 60)])) for k in range(400)]
+    lows = [(k, rng.choice([None, 1.0, 7.5, rng.uniform(-30, 60)])) for k in range(300)]
+    p, i = spark.createDataFrame(points, "k int, x double"), spark.createDataFrame(lows, "j int, lo double").withColumn("hi", F.col("lo") + 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = relational.range_join(p, i, "x", "lo", "hi", 20.0, 5.0).select("k", "j", "x", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.k, r.j) for r in found) == sorted((k, j) for k, x in points for j, lo in lows if x is not None and lo is not None and lo <= x < lo + 5)
+    assert len({r.part for r in found if r.x == 7.5}) > 1
