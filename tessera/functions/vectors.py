@@ -12,9 +12,9 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def tsvector(s):
-    """Sorted lexemes with their places: stop words are left out but counted. Words are sorted with their places, and runs of equal words cut from that, so the work is n log n."""
-    stop = "array(" + ", ".join(f"'{w}'" for w in STOP) + ")"
-    pairs = f"array_sort(filter(transform({_WORDS.format(s)}, (w, i) -> named_struct('w', w, 'p', CAST(i + 1 AS BIGINT))), e -> NOT array_contains({stop}, e.w)))"
+    """Sorted lexemes with their places: stop words are left out but counted. Words are sorted with their places, and runs of equal words cut from that, so the work is n log n. sort_array compares natively where array_sort would evaluate an expression for each comparison."""
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    pairs = f"sort_array(filter(transform({_WORDS.format(s)}, (w, i) -> named_struct('w', w, 'p', CAST(i + 1 AS BIGINT))), e -> e.w NOT IN ({stop})))"
     heads = "filter(transform(v_all, (x, i) -> named_struct('w', x.w, 'i', i, 'h', i = 0 OR get(v_all, i - 1).w <> x.w)), x -> x.h)"
     rows = "transform(v_heads, (x, k) -> named_struct('lexeme', x.w, 'positions', transform(slice(v_all, x.i + 1, coalesce(get(v_heads, k + 1).i, size(v_all)) - x.i), e -> e.p)))"
     return _let("v_all", pairs, _let("v_heads", heads, rows))
@@ -133,7 +133,7 @@ def string_decode(mark: str, line: str, index: str) -> str:
 
 
 FUNCTIONS = {
-    "to_tsvector": tsvector, "ts_match": lambda v, q: _query(q).matches(v), "ts_rank": lambda v, q: f"coalesce(CAST(size(filter({v}, e -> {_query(q).any_word('e.lexeme')})) AS DOUBLE) / nullif(size({v}), 0), 0D)",
+    "to_tsvector": tsvector, "ts_match": lambda v, q: _let("v_one", v, _query(q).matches("v_one")), "ts_rank": lambda v, q: f"coalesce(CAST(size(filter({v}, e -> {_query(q).any_word('e.lexeme')})) AS DOUBLE) / nullif(size({v}), 0), 0D)",
     "ts_rank_cd": lambda v, q: f"coalesce(CAST(aggregate(filter({v}, e -> {_query(q).any_word('e.lexeme')}), 0L, (n, e) -> n + size(e.positions)) AS DOUBLE) / nullif({_positions(v)}, 0), 0D)", "ts_headline": _headline,
     "numnode": lambda q: f"CAST({_query(q).nodes()} AS BIGINT)", "querytree": lambda q: '"' + _query(q).render() + '"', "to_tsquery": lambda q: '"' + _query(q).render() + '"', "plainto_tsquery": lambda q: '"' + Query(q.strip("'"), True).render() + '"', "phraseto_tsquery": lambda q: '"' + Query(q.strip("'"), True).render() + '"',
     "setweight": lambda v, c: v, "strip": lambda v: f"transform({v}, e -> named_struct('lexeme', e.lexeme, 'positions', slice(e.positions, 1, 0)))", "tsvector_length": "CAST(size({}) AS BIGINT)".format,

@@ -39,3 +39,16 @@ def test_crowded_bucket_is_spread(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((r.k, r.j) for r in found) == sorted((k, j) for k, x in points for j, lo in lows if x is not None and lo is not None and lo <= x < lo + 5)
     assert len({r.part for r in found if r.x == 7.5}) > 1
+
+
+def test_vectors_are_made_once(spark):
+    for name in ("ts_match",):
+        assert fn(name, "the_vector", "'red & (ring | !blue)'").count("the_vector") == 1
+    rows = [("Ring the RED ring, was blue_1 ring",), ("the was no",), ("",), (None,), ("9 red Red é É é",)]
+    v = fn("to_tsvector", "t")
+    found = spark.createDataFrame(rows, "t string").selectExpr("t", f"transform({v}, e -> concat(e.lexeme, ':', array_join(e.positions, '/'))) AS v", f"{fn('ts_match', v, chr(39) + 'ring & !blue_1 | 9' + chr(39))} AS m", f"{fn('ts_rank', v, chr(39) + 'red | é' + chr(39))} AS r", f"{fn('ts_rank_cd', v, chr(39) + 'red | é' + chr(39))} AS c").collect()
+    got = {r.t: (r.v, r.m, r.r, r.c) for r in found}
+    assert got["Ring the RED ring, was blue_1 ring"] == (["blue_1:6", "red:3", "ring:1/4/7"], False, 1 / 3, 1 / 5)
+    assert got["the was no"] == got[""] == ([], False, 0.0, 0.0)
+    assert got[None] == (None, None, 0.0, 0.0)
+    assert got["9 red Red é É é"] == (["9:1", "red:2/3", "é:4/5/6"], True, 2 / 3, 5 / 6)
