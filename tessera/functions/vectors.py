@@ -133,7 +133,7 @@ def string_decode(mark: str, line: str, index: str) -> str:
 
 
 FUNCTIONS = {
-    "to_tsvector": tsvector, "ts_match": lambda v, q: _let("v_one", v, _query(q).matches("v_one")), "ts_rank": lambda v, q: f"coalesce(CAST(size(filter({v}, e -> {_query(q).any_word('e.lexeme')})) AS DOUBLE) / nullif(size({v}), 0), 0D)",
+    "to_tsvector": tsvector, "ts_match": lambda v, q: _let("v_one", v, _query(q).matches("v_one")), "ts_rank": lambda v, q: _let("v_one", v, f"coalesce(CAST(size(filter(v_one, e -> {_query(q).any_word('e.lexeme')})) AS DOUBLE) / nullif(size(v_one), 0), 0D)"),
     "ts_rank_cd": lambda v, q: _let("v_one", v, f"coalesce(CAST(aggregate(filter(v_one, e -> {_query(q).any_word('e.lexeme')}), 0L, (n, e) -> n + size(e.positions)) AS DOUBLE) / nullif({_positions('v_one')}, 0), 0D)"), "ts_headline": _headline,
     "numnode": lambda q: f"CAST({_query(q).nodes()} AS BIGINT)", "querytree": lambda q: '"' + _query(q).render() + '"', "to_tsquery": lambda q: '"' + _query(q).render() + '"', "plainto_tsquery": lambda q: '"' + Query(q.strip("'"), True).render() + '"', "phraseto_tsquery": lambda q: '"' + Query(q.strip("'"), True).render() + '"',
     "setweight": lambda v, c: v, "strip": lambda v: f"transform({v}, e -> named_struct('lexeme', e.lexeme, 'positions', slice(e.positions, 1, 0)))", "tsvector_length": "CAST(size({}) AS BIGINT)".format,

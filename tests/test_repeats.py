@@ -42,7 +42,7 @@ def test_crowded_bucket_is_spread(spark, monkeypatch):
 
 
 def test_vectors_are_made_once(spark):
-    for name in ("ts_match", "ts_rank_cd"):
+    for name in ("ts_match", "ts_rank", "ts_rank_cd"):
         assert fn(name, "the_vector", "'red & (ring | !blue)'").count("the_vector") == 1
     rows = [("Ring the RED ring, was blue_1 ring",), ("the was no",), ("",), (None,), ("9 red Red é É é",)]
     v = fn("to_tsvector", "t")
